@@ -28,8 +28,8 @@ SEEN = 500_000
 #: A batch of texts is hashed in slices of about so many characters.
 SLICE = 400_000
 
-#: (sorted shingle sets, their owners' numbers) to keys: flat shingles, offsets -> (owner of each key, key)
-KeyMaker = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Flat sorted shingle sets and their offsets to (owner of each key, key, fingerprint of each set as bytes or None).
+KeyMaker = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -68,10 +68,10 @@ def node_ids(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def keyed(df: DataFrame, row_id: str, text: str, *, k: int, least_words: int, maker: KeyMaker) -> DataFrame:
-    """(row_id, node, keys) of the rows whose text has at least ``least_words`` words and a shingle of k words.
+    """(row_id, node, keys, mark) of the rows whose text has at least ``least_words`` words and a shingle of k words.
 
-    ``keys`` is empty where the same task has made the node's keys before. Null and
-    blank texts give no row; a row id that occurs with the same text twice counts once.
+    ``keys`` is empty and ``mark``, the fingerprint, null where the same task has made them
+    for the node before. Null and blank texts give no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +92,20 @@ def keyed(df: DataFrame, row_id: str, text: str, *, k: int, least_words: int, ma
                         seen.add(x)
                         fresh.append(i)
                 keys, ends = np.empty(0, np.int64), np.zeros(len(part), np.int64)
+                prints: list[bytes | None] = [None] * len(part)
                 if fresh:
                     sub = np.zeros(len(fresh) + 1, np.int64)
                     np.cumsum(np.diff(offsets)[fresh], out=sub[1:])
-                    owner, key = maker(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in fresh]), sub)
+                    owner, key, marks = maker(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in fresh]), sub)
                     keys = key.astype(np.int64)
                     ends[fresh] = np.bincount(owner, minlength=len(fresh))
+                    for j, i in enumerate(fresh if marks is not None else ()):
+                        prints[i] = marks[j].tobytes()
                 cuts = np.concatenate(([0], np.cumsum(ends[use]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + use]), pa.array(nodes[use]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))], names=[row_id, "node", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + use]), pa.array(nodes[use]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys)), pa.array([prints[i] for i in use], pa.binary())], names=[row_id, "node", "keys", "mark"])
 
     picked = df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull() & F.col(row_id).isNotNull())
-    return picked.mapInArrow(run, f"`{row_id}` long, node long, keys array<long>")
+    return picked.mapInArrow(run, f"`{row_id}` long, node long, keys array<long>, mark binary")
 
 
 def runs(keys: DataFrame) -> DataFrame:
@@ -123,6 +126,21 @@ def together(found: DataFrame) -> DataFrame:
     return x.select("key", F.col("node").alias("a")).join(y.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
+def promising(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The pairs whose complete fingerprints agree in as many symbols as ``least`` leads to expect, less four standard deviations."""
+    marks = rows.where("mark is not null").groupBy("node").agg(F.max("mark").alias("mark"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("ma", "mb"))
+                n = x.shape[1]
+                yield pdf.loc[(x == y).sum(axis=1) >= n * least - 4 * np.sqrt(n * least * (1 - least)), ["a", "b"]]
+
+    both = pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mb")), "b")
+    return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long")
+
+
 def sets_of(df: DataFrame, row_id: str, text: str, members: DataFrame, nodes: DataFrame, *, k: int) -> DataFrame:
     """(node, shingles) of ``nodes``, from the text of one member of each; other texts are filtered out before they are hashed.
 

@@ -4,7 +4,9 @@ Each node (distinct set of three-word shingles) gets a fingerprint of SEGMENTS x
 min-wise symbols; a symbol of two nodes is equal with a chance of their likeness. The
 Hamming ball of radius 1 around each segment is enumerated by leaving out one symbol at
 a time, every such variant is a table key, nodes that meet in a table are candidates, and
-the complete distance of the candidates is checked exactly on the shingle sets.
+the candidates' complete distance is verified, first on the whole fingerprints, where it
+must not exceed what the threshold allows by over four standard deviations, then exactly
+on the shingle sets.
 
 With the default 8 segments of 5 symbols, a pair of likeness 0.7 is met with a chance of
 0.9975, one of 0.75 with 0.9997, one of 0.8 with 0.99999; no false pair passes the check.
@@ -25,13 +27,14 @@ SEGMENTS, SYMBOLS = 8, 5
 SPREAD = 32
 
 
-def ball_keys(flat: np.ndarray, offsets: np.ndarray, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key): segments * symbols keys of each non-empty set of ``flat``."""
+def ball_keys(flat: np.ndarray, offsets: np.ndarray, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, fingerprint): segments * symbols keys of each non-empty set of ``flat``, and its symbols cut to a byte each."""
     n = len(offsets) - 1
     rng = np.random.default_rng(20240607)
     mult = rng.integers(1, 1 << 63, segments * symbols, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, segments * symbols, dtype=np.uint64)
     out = np.empty((n, segments * symbols), np.uint64)
+    prints = np.empty((n, segments * symbols), np.uint8)
     with np.errstate(over="ignore"):
         for s in range(segments):
             marks = []
@@ -40,17 +43,18 @@ def ball_keys(flat: np.ndarray, offsets: np.ndarray, segments: int = SEGMENTS, s
                 h ^= h >> np.uint64(32)
                 h *= np.uint64(0xD6E8FEB86659FD93)
                 marks.append(wh.mix(np.minimum.reduceat(h, offsets[:-1]) + np.uint64(s * symbols + j)))
+                prints[:, s * symbols + j] = marks[-1] & np.uint64(255)
             whole = np.sum(marks, axis=0, dtype=np.uint64)
             for j in range(symbols):
                 out[:, s * symbols + j] = wh.mix((whole - marks[j]) ^ np.uint64(s * symbols + j + 1))
-    return np.repeat(np.arange(n), segments * symbols), out.ravel().view(np.int64)
+    return np.repeat(np.arange(n), segments * symbols), out.ravel().view(np.int64), prints
 
 
 def _found(df: DataFrame, row_id: str, text: str, *, least: float, least_words: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(members: row_id, node), (links between nodes: a, b, likeness)."""
     rows = near.kept(near.keyed(df, row_id, text, k=k, least_words=least_words, maker=ball_keys))
     members = rows.select(row_id, "node").distinct()
-    pairs = cut(near.together(cut(near.runs(rows))))
+    pairs = cut(near.promising(near.together(cut(near.runs(rows))), rows, least))
     sets = near.sets_of(df, row_id, text, members, near.ends(pairs), k=k)
     return members, cut(near.alike(pairs, sets, least))
 

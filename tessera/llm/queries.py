@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import history, neardup, turns
 from tessera.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.turns(table(spark, sf_dir, "passages"), table(spark, sf_dir, "participants"), words=False)
+
+
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.turns(table(spark, sf_dir, "passages"), table(spark, sf_dir, "participants"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.rejected(table(spark, sf_dir, "documents"), least=0.8)
+    return found.select(F.least("doc_id", "twin").alias("doc_lo"), F.greatest("doc_id", "twin").alias("doc_hi"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.similar_pairs(table(spark, sf_dir, "passages"), least=0.7, least_words=30)
     return pairs.toDF("passage_lo", "passage_hi")
