@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators import units
+from tessera.session import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.same_amounts(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "metrics")).toDF("mention_lo", "mention_hi")
+
+
+def p5_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.amounts(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "metrics"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found, "p5_amounts": p5_amounts}
 
 
 def oracle_sql() -> dict[str, str]:
