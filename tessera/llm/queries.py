@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import history, neardup, turns
+from tessera.llm import cuts, history, lines, neardup, turns
 from tessera.session import table
 
 
@@ -19,6 +19,23 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.turns(table(spark, sf_dir, "passages"), table(spark, sf_dir, "participants"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.cut_kinds(table(spark, sf_dir, "passages"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.cut_pieces(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "passages")
+    return lines.without_lines(passages, lines.repeated_lines(passages, table(spark, sf_dir, "documents")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = history.rejected(table(spark, sf_dir, "documents"), least=0.8)
     return found.select(F.least("doc_id", "twin").alias("doc_lo"), F.greatest("doc_id", "twin").alias("doc_hi"))
