@@ -8,7 +8,7 @@ is its range of hash values, so it needs no shift when probed. If two strings di
 most t shingles, at most t segments differ, so of each string the t + 1 most telling
 segments suffice: one of them is common to both. How telling a segment is comes from shingle
 frequencies in a bounded sample; that order changes the speed only, never the result.
-Candidates are verified by their exact distance; accepted documents' segments are appended.
+Candidates are verified, first by a bound from their profiles, then by their exact distance; accepted documents' segments are appended.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tessera.session import cut, shared_dir
 
 #: Texts read to learn which shingles are common, at most; and the cells of the frequency table.
 SAMPLE, CELLS = 4_000, 1 << 20
+#: Bins of the profile that bounds an edit distance from below.
+BINS = 64
 
 
 def common_shingles(df: DataFrame, text: str, k: int, seed: int = 7) -> np.ndarray:
@@ -41,8 +43,24 @@ def common_shingles(df: DataFrame, text: str, k: int, seed: int = 7) -> np.ndarr
     return np.minimum(counts, 65535).astype(np.uint16)
 
 
-def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
-    """(owner, key, None) of the segments to store and probe for each non-empty set of ``flat``.
+def profiles(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each set its size, in four bytes, and how many of its shingles fall into each of BINS bins, at most 255."""
+    size = np.diff(offsets)
+    owner = np.repeat(np.arange(len(size)), size)
+    bins = (flat & np.uint64(BINS - 1)).astype(np.int64)
+    counts = np.bincount(owner * BINS + bins, minlength=len(size) * BINS).reshape(len(size), BINS)
+    return np.concatenate((size.astype("<u4").view(np.uint8).reshape(len(size), 4), np.minimum(counts, 255).astype(np.uint8)), axis=1)
+
+
+def in_reach(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether profiles allow a likeness of ``least``: the differences of the bins add up to no more than the edit distance, so nothing alike is lost."""
+    sizes = x[:, :4].copy().view("<u4")[:, 0].astype(np.int64) + y[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
+    apart = np.abs(x[:, 4:].astype(np.int16) - y[:, 4:].astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return apart <= sizes * (1 - least) / (1 + least) + 1e-9
+
+
+def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, profile) of the segments to store and probe for each non-empty set of ``flat``.
 
     Length class: the power of two at or above the length; a string that can be alike to one
     of the next class is also laid out in that class's segments.
@@ -83,7 +101,7 @@ def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np
                 more_o.append(np.full(len(empty), owner[c]))
             keys, owners = np.concatenate([keys, *more_k]), np.concatenate([owners, *more_o])
     order = np.argsort(owners, kind="stable")
-    return owners[order], keys[order].view(np.int64), None
+    return owners[order], keys[order].view(np.int64), profiles(flat, offsets)
 
 
 def _decide(nodes: DataFrame, links: DataFrame, *, most: int = 1_000) -> DataFrame:
@@ -111,7 +129,7 @@ def _decide(nodes: DataFrame, links: DataFrame, *, most: int = 1_000) -> DataFra
 class History:
     """The accepted documents so far: a segment index in a folder that all executors share.
 
-    ``segments`` has (key, node), ``sets`` (node, shingles), ``arrivals`` (node, at, doc_id of
+    ``segments`` has (key, node), ``profiles`` (node, mark), ``sets`` (node, shingles), ``arrivals`` (node, at, doc_id of
     the earliest accepted copy). A batch reads only the segments whose keys it has, and only
     the sets of its candidates; nothing accepted is hashed again.
     """
@@ -146,12 +164,15 @@ class History:
 
         probes = near.runs(rows)
         old_keys, old_sets, old_first = self._read("segments"), self._read("sets"), self._read("arrivals")
+        old_marks = self._read("profiles")
+        marks = rows.select("node", "mark") if old_marks is None else rows.select("node", "mark").union(old_marks.select("node", "mark"))
+        may = lambda x, y: in_reach(x, y, least)
         if old_keys is not None:
             own = rows.select("node", F.explode("keys").alias("key"))
             met = own.join(old_keys.withColumnRenamed("node", "old"), "key").where("node <> old").select(F.least("node", "old").alias("a"), F.greatest("node", "old").alias("b"))
-            pairs = cut(near.together(cut(probes)).union(met).distinct())
+            pairs = cut(near.promising(near.together(cut(probes)).union(met).distinct(), marks, may))
         else:
-            pairs = cut(near.together(cut(probes)))
+            pairs = cut(near.promising(near.together(cut(probes)), marks, may))
         sets = near.sets_of(batch, row_id, text, members, near.ends(pairs), k=self.k)
         if old_sets is not None:
             sets = sets.union(old_sets.join(near.ends(pairs), "node", "left_semi")).dropDuplicates(["node"])
@@ -182,6 +203,7 @@ class History:
 
     def _append(self, batch: DataFrame, row_id: str, text: str, rows: DataFrame, members: DataFrame, new: DataFrame) -> None:
         rows.select("node", F.explode("keys").alias("key")).join(new.select("node"), "node", "left_semi").distinct().write.mode("append").parquet(f"{self.path}/segments")
+        rows.where("mark is not null").join(new.select("node"), "node", "left_semi").groupBy("node").agg(F.max("mark").alias("mark")).write.mode("append").parquet(f"{self.path}/profiles")
         near.sets_of(batch, row_id, text, members.select(row_id, "node"), new.select("node"), k=self.k).write.mode("append").parquet(f"{self.path}/sets")
         new.select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id")).write.mode("append").parquet(f"{self.path}/arrivals")
         self.batches += 1

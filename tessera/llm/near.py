@@ -126,16 +126,15 @@ def together(found: DataFrame) -> DataFrame:
     return x.select("key", F.col("node").alias("a")).join(y.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
-def promising(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose complete fingerprints agree in as many symbols as ``least`` leads to expect, less four standard deviations."""
+def promising(pairs: DataFrame, rows: DataFrame, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The pairs whose fingerprints, one row of bytes for each end, ``may`` be alike."""
     marks = rows.where("mark is not null").groupBy("node").agg(F.max("mark").alias("mark"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("ma", "mb"))
-                n = x.shape[1]
-                yield pdf.loc[(x == y).sum(axis=1) >= n * least - 4 * np.sqrt(n * least * (1 - least)), ["a", "b"]]
+                yield pdf.loc[may(x, y), ["a", "b"]]
 
     both = pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mb")), "b")
     return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long")

@@ -50,11 +50,17 @@ def ball_keys(flat: np.ndarray, offsets: np.ndarray, segments: int = SEGMENTS, s
     return np.repeat(np.arange(n), segments * symbols), out.ravel().view(np.int64), prints
 
 
+def agree(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether fingerprints agree in as many symbols as ``least`` leads to expect, less four standard deviations."""
+    n = x.shape[1]
+    return (x == y).sum(axis=1) >= n * least - 4 * np.sqrt(n * least * (1 - least))
+
+
 def _found(df: DataFrame, row_id: str, text: str, *, least: float, least_words: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(members: row_id, node), (links between nodes: a, b, likeness)."""
     rows = near.kept(near.keyed(df, row_id, text, k=k, least_words=least_words, maker=ball_keys))
     members = rows.select(row_id, "node").distinct()
-    pairs = cut(near.promising(near.together(cut(near.runs(rows))), rows, least))
+    pairs = cut(near.promising(near.together(cut(near.runs(rows))), rows, lambda x, y: agree(x, y, least)))
     sets = near.sets_of(df, row_id, text, members, near.ends(pairs), k=k)
     return members, cut(near.alike(pairs, sets, least))
 
