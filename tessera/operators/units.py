@@ -68,7 +68,7 @@ FOREIGN = frozenset(
 ) - {"de", "la", "en", "die", "das", "mil", "los", "den"}
 
 _JOINERS = frozenset("of the in as a an de d' stated amounts figures expressed us".split())
-_NUMBER = re.compile(r"(?P<open>\()?(?P<sign>[-−–])?\s?(?:(?:US)?\$|USD\s?|€)?\s?(?P<sign2>[-−–])?(?P<n>\d(?:[\d.,'’ \xa0]|[  ](?=\d{3}(?!\d)))*\d|\d)")
+_NUMBER = re.compile(r"(?P<open>\()?(?P<sign>[-−–])?\s?(?:(?:US)?\$|USD\s?|€)?\s?(?P<sign2>[-−–])?(?P<n>\d(?:[\d.,'’\xa0  ]|[ ](?=\d{3}(?!\d)))*\d|\d)")
 _PIECES = re.compile(r"[$%]|°[CFcf]|'?0{3}s?(?!\d)|m[²³23]|ft[²2]|km[²2]|[^\W\d_]+(?:['’][^\W\d_]+)?\.?", re.U)
 _PHRASES: dict[str, tuple[str, int]] = {}
 
