@@ -32,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON, REMEMBERED, LONGEST = 50_000, 400_000, 64
 #: The tokenizer's pattern of pieces; L, N and S stand for letters, numbers and white space (fixed value).
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _ranges(kind: str, top: int) -> str:

@@ -24,7 +24,10 @@ from tessera.llm import wordhash as wh
 from tessera.session import cut, shared_dir
 
 #: Texts read to learn which shingles are common, at most; and the cells of the frequency table.
-SAMPLE, CELLS = 4_000, 1 << 20
+SAMPLE, CELLS = 8_000, 1 << 22
+SHIFT = 64 - 22
+#: Segments, as a share of a length class's upper end; more than (1 - J) / J of it, and few, so that segments are long.
+SPARE = 0.27
 #: Bins of the profile that bounds an edit distance from below.
 BINS = 64
 
@@ -39,8 +42,8 @@ def common_shingles(df: DataFrame, text: str, k: int, seed: int = 7) -> np.ndarr
     counts = np.zeros(CELLS, np.int64)
     for _, some in near.slices(texts):
         flat, _, _ = near.flat_sets(some, k)
-        counts += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 65535).astype(np.uint16)
+        counts += np.bincount((flat >> np.uint64(SHIFT)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def profiles(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np
     wide = size / least > top
     owner = np.concatenate((np.arange(len(size)), np.flatnonzero(wide)))
     level = np.concatenate((top, 2 * top[wide]))
-    n_seg = np.maximum(64, np.maximum((level * 0.375).astype(np.int64), (level * (1 - least) / least).astype(np.int64) + 2))
+    n_seg = np.maximum(64, np.maximum((level * SPARE).astype(np.int64), (level * (1 - least) / least).astype(np.int64) + 2))
     lens = size[owner]
     start = np.concatenate(([0], np.cumsum(lens)))
     at = np.arange(start[-1]) - np.repeat(start[:-1] - offsets[owner], lens)
@@ -83,7 +86,7 @@ def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np
         seg_copy = copy[edge]
         place = slot[edge] + (level[seg_copy].astype(np.uint64) << np.uint64(32))
         key = wh.mix(content ^ wh.mix(place))
-        rare = (16 - np.log2(counts[(values >> np.uint64(44)).astype(np.int64)] + 1.0)) * 4096
+        rare = (16 - np.log2(counts[(values >> np.uint64(SHIFT)).astype(np.int64)] + 1.0)) * 4096
         telling = np.add.reduceat(rare.astype(np.int64), edge)
         order = np.lexsort((key, -telling, seg_copy))
         begin = np.searchsorted(seg_copy, np.arange(len(owner)))

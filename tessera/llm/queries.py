@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuts, encode, history, leaks, lines, neardup, turns
+from tessera.llm import cuts, encode, history, leaks, lines, neardup, subjects, turns
 from tessera.session import table
 
 
@@ -62,6 +62,14 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p9_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
