@@ -140,11 +140,13 @@ class Cast:
             if len(tokens) > 1:
                 self.full.setdefault(" ".join(tokens), n)
                 self.full.setdefault(" ".join([tokens[-1], *tokens[:-1]]), n)
-                self.words.append((n, tokens))
+                if (n, tokens) not in self.words:
+                    self.words.append((n, tokens))
             if tokens:
-                self.last.setdefault(tokens[-1], []).append((n, tokens[0]))
-            if title:
-                self.title.setdefault(" ".join(_WORD.findall(title.lower())), []).append(n)
+                if (n, tokens[0]) not in (known := self.last.setdefault(tokens[-1], [])):
+                    known.append((n, tokens[0]))
+            if title and n not in (holders := self.title.setdefault(" ".join(_WORD.findall(title.lower())), [])):
+                holders.append(n)
         for kind, table in (("full", self.full), ("last", self.last), ("title", self.title)):
             for phrase in table:
                 if phrase and (phrase not in names or kind == "full"):
