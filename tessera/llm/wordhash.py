@@ -52,13 +52,53 @@ def _powers(base: np.uint64, name: str, n: int) -> np.ndarray:
     return have
 
 
-def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, number of text, start, end) of every word in text order; a null text has none. Offsets are into the lower-cased text."""
+def _letters() -> np.ndarray:
+    if "letter" not in _tables:
+        _tables["letter"] = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return _tables["letter"]
+
+
+def _laid_out(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the lower-cased texts, a line feed between two, where each text begins)."""
     low = [t.lower() if t else "" for t in texts]
     lens = np.fromiter(map(len, low), np.int64, len(low))
-    joined = "\n".join(low)
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate(([0], np.cumsum(lens[:-1] + 1))) if len(lens) else np.empty(0, np.int64)
+
+
+def lines(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of its letters, number of text, start, end) of every line with letters; lines end at line and form feeds."""
+    codes, first = _laid_out(texts)
+    with np.errstate(over="ignore"):
+        letter = _letters()[codes]
+        breaks = np.flatnonzero((codes == 10) | (codes == 12))
+        start, end = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(codes)]))
+        before = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(letter, out=before[1:])
+        n = int(before[-1])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes[letter].astype(np.uint64) + np.uint64(1)) * _powers(_P, "p", n)[:n], out=sums[1:])
+        a, b = before[start], before[end]
+        has = b > a
+        start, end, a, b = start[has], end[has], a[has], b[has]
+        h = mix((sums[b] - sums[a]) * _powers(_P_INV, "i", n)[a])
+    owner = np.searchsorted(first, start, side="right") - 1
+    return h, owner, start - first[owner] if len(owner) else start, end - first[owner] if len(owner) else end
+
+
+def only_letters(texts: Sequence[str | None], owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the words at these offsets have no digits."""
+    codes, first = _laid_out(texts)
+    before = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(_letters()[codes], out=before[1:])
+    at = first[owner] if len(owner) else start
+    return before[at + end] - before[at + start] == end - start
+
+
+def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of text, start, end) of every word in text order; a null text has none. Offsets are into the lower-cased text."""
+    codes, first = _laid_out(texts)
     with np.errstate(over="ignore"):
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.empty(len(codes) + 2, bool)
         inside[0] = inside[-1] = False
         inside[1:-1] = _alnum()[codes]
@@ -70,7 +110,6 @@ def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_P, "p", len(codes))[: len(codes)], out=sums[1:])
         h = mix((sums[end] - sums[start]) * _powers(_P_INV, "i", len(codes))[start])
-        first = np.concatenate(([0], np.cumsum(lens[:-1] + 1))) if len(lens) else np.empty(0, np.int64)
         owner = np.searchsorted(first, start, side="right") - 1
     return h, owner, start - first[owner], end - first[owner]
 
