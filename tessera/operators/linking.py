@@ -40,9 +40,9 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES) -> DataFrame:
     statistics are those of all rows. Ties go to the smaller id.
     """
     base = rows.where("doc_ticker is not null and text is not null and day is not null").select("passage_id", "doc_ticker", "day", "document_id", index_words("text").alias("words"), tx.query_terms("text").alias("asked"))
-    size = base.agg(F.count("*").alias("N"), F.avg(F.size("words")).alias("avg_len"))
+    size = base.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("avg_len"))
     posts = base.select("passage_id", "doc_ticker", "day", "document_id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("passage_id", "doc_ticker", "day", "document_id", "len", "word").agg(F.count("*").alias("f"))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rare = posts.groupBy("word").agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("word", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "avg_len")
     weighed = posts.join(rare, "word").select("doc_ticker", "word", F.col("passage_id").alias("candidate_id"), F.struct(F.col("day"), F.col("document_id")).alias("then"), (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))).alias("part"))
     asked = base.select("passage_id", "doc_ticker", F.struct("day", "document_id").alias("now"), F.explode(F.array_distinct(F.flatten(F.transform("asked", index_words)))).alias("word"))

@@ -23,8 +23,8 @@ def folded(log: DataFrame, keys: list[str], order: list[Column], fields: list[st
 def merged_answers(log: DataFrame, keys: list[str], *, part: str = "part", answers: str = "answers", order: list[Column]) -> DataFrame:
     """(keys, answers): the newest answers of each part, merged in part order, a later part winning."""
     newest = latest(log.select(*keys, part, answers, *[o.alias(f"_o{i}") for i, o in enumerate(order)]), [*keys, part], [F.col(f"_o{i}") for i in range(len(order))])
-    parts = newest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(part).alias("part"), F.map_entries(answers).alias("entries")))).alias("parts"))  # a key has a few parts
-    entries = F.flatten(F.transform("parts", lambda p: p["entries"]))
+    parts = newest.where(F.col(part).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(part), F.map_entries(answers)))).alias("parts"))  # a key has a few parts
+    entries = F.flatten(F.transform(F.array_sort(F.map_keys("parts")), lambda p: F.col("parts")[p]))
     last = F.aggregate(entries, F.create_map().cast(log.schema[answers].dataType), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
     return parts.select(*keys, last.alias(answers))
 
