@@ -74,5 +74,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_SETS = f"""with t as (select id, {_WORDS} w from (select distinct passage_id as id, text from passages where passage_id is not null and text is not null)), s as (select id, unnest(list_distinct([hash(w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)])) h from t where len(w) >= 30),
+ n as (select id, count(*) n from s group by 1), m as (select a.id x, b.id y, count(*) k from s a join s b on a.h = b.h and a.id < b.id group by 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Oracles of the queries that SQL can state; the others are tested against brute force."""
+    return {
+        "p3_found": """with l as (select distinct p.passage_id, p.document_id, d.source, unnest(string_split(p.text, chr(10))) line, generate_subscripts(string_split(p.text, chr(10)), 1) line_no from passages p join documents d on d.doc_id = p.document_id),
+ n as (select *, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') k from l), t as (select source, count(distinct doc_id) total from documents group by 1),
+ f as (select n.source, k from n join t on t.source is not distinct from n.source where k <> '' group by 1, 2 having count(distinct document_id) >= 3 and count(distinct document_id) >= 0.05 * any_value(total))
+ select distinct passage_id, line_no::int as line_no from n join f on f.k = n.k and f.source is not distinct from n.source""",
+        "p6_found": f"{_SETS} select x as passage_lo, y as passage_hi from m join n a on a.id = x join n b on b.id = y where k >= 0.7 * (a.n + b.n - k)",
+        "p8_found": f"""with i as (select item_id, {_WORDS} w from eval_items where text is not null), g as (select distinct item_id, array_to_string(w[k:k + 12], ' ') h from i, lateral (select unnest(range(1, len(w) - 11)) k)),
+ d as (select doc_id, {_WORDS} w from documents where text is not null), e as (select distinct doc_id, array_to_string(w[k:k + 12], ' ') h from d, lateral (select unnest(range(1, len(w) - 11)) k))
+ select distinct doc_id, item_id from e join g using (h)""",
+        "p8_items": f"""with i as (select item_id, {_WORDS} w from eval_items where text is not null), g as (select distinct item_id, array_to_string(w[k:k + 12], ' ') h from i, lateral (select unnest(range(1, len(w) - 11)) k)),
+ d as (select doc_id, {_WORDS} w from documents where text is not null), e as (select distinct doc_id, array_to_string(w[k:k + 12], ' ') h from d, lateral (select unnest(range(1, len(w) - 11)) k))
+ select item_id, count(distinct doc_id) as n_documents from e join g using (h) group by 1""",
+    }
