@@ -14,7 +14,7 @@ from tessera.functions import text as tx
 from tessera.operators import calibration as cal
 from tessera.operators import kpi, linking, retrieval, state, units
 from tessera.operators import signals as sg
-from tessera.session import shared_dir, table
+from tessera.session import shared_dir, spread, table
 from tessera.sources import extract
 from tessera.streaming import pipeline
 
@@ -178,7 +178,7 @@ def document_fields(spark, d):
 
 
 def _index(spark, d):
-    return retrieval.build_index(table(spark, d, "passages"))
+    return retrieval.build_index(spread(table(spark, d, "passages").select("passage_id", "text")))
 
 
 def _bm25(frequencies: str, groups: str, where: str) -> str:
@@ -380,7 +380,7 @@ def filing_redlines(spark, d):
 @query(f"with t as ({_TWO}), p as (select distinct passage_id, document_id, {_NORM('text')} n from passages where text is not null) select t.ticker, t.family, count(distinct a.passage_id) filter (exists (select 1 from p b where b.document_id = t.old_id and b.n = a.n)) as unchanged, count(distinct a.passage_id) as n from t join p a on a.document_id = t.new_id group by 1, 2")
 def unchanged_passages(spark, d):
     pairs = linking.latest_two(table(spark, d, "documents"))
-    p = table(spark, d, "passages").where("text is not null").select("passage_id", "document_id", tx.normalize("text").alias("norm")).distinct()
+    p = spread(table(spark, d, "passages").where("text is not null").select("passage_id", "document_id", "text")).select("passage_id", "document_id", tx.normalize("text").alias("norm")).distinct()
     new = pairs.join(p.withColumnRenamed("document_id", "new_id"), "new_id")
     old = p.select(F.col("document_id").alias("old_id"), "norm").distinct().withColumn("hit", F.lit(1))
     return new.join(old, ["old_id", "norm"], "left").groupBy("ticker", "family").agg(F.count_distinct(F.when(F.col("hit") == 1, F.col("passage_id"))).alias("unchanged"), F.count_distinct("passage_id").alias("n"))
@@ -490,7 +490,7 @@ def labelling_sample(spark, d):
 
 @query(f"select doc_id, length(regexp_replace(text, '[\\x{{1c}}-\\x{{1f}}]|{_BLANK}', '', 'g'))::bigint as n_chars from documents where text is not null and (source_type is null or source_type not in ('earnings_transcript', 'expert_call')) and length(regexp_replace(text, '[\\x{{1c}}-\\x{{1f}}]|{_BLANK}', '', 'g')) > 0")
 def split_keeps_text(spark, d):
-    docs = table(spark, d, "documents").where("source_type is null or source_type not in ('earnings_transcript', 'expert_call')")
+    docs = spread(table(spark, d, "documents").where("source_type is null or source_type not in ('earnings_transcript', 'expert_call')"))
     return extract.split_passages(docs).groupBy(F.col("document_id").alias("doc_id")).agg(F.sum(F.length(F.regexp_replace("text", r"(?U)[\x1c-\x1f\s]+", ""))).alias("n_chars"))
 
 
