@@ -12,7 +12,7 @@ from tessera.functions import dates as dt
 from tessera.functions import pyfuncs as py
 from tessera.functions import text as tx
 from tessera.operators import calibration as cal
-from tessera.operators import kpi, linking, retrieval, state, units
+from tessera.operators import kpi, linking, retrieval, state, units, views
 from tessera.operators import signals as sg
 from tessera.session import shared_dir, spread, table
 from tessera.sources import extract
@@ -485,6 +485,70 @@ def labelling_sample(spark, d):
     return cal.stratified_sample(merged(spark, d).select("passage_id", (F.col("p.new_info") >= 0.8).alias("flagged")), "passage_id", "flagged", n=200, seed=7)
 
 
+# Views.
+
+
+@query("select p.passage_id, p.place::int as place, p.seen_id, q.document_id as seen_document from (select distinct passage_id, unnest(seen_ids) seen_id, generate_subscripts(seen_ids, 1) place from passages where len(seen_ids) > 0) p join (select distinct passage_id, document_id from passages) q on q.passage_id = p.seen_id")
+def seen_links(spark, d):
+    return views.seen_links(table(spark, d, "passages"))
+
+
+@query("select p.passage_id, p.similar_to, q.document_id as similar_document, p.similarity from (select distinct passage_id, similar_to, similarity from passages) p left join (select distinct passage_id, document_id from passages) q on q.passage_id = p.similar_to")
+def similar_links(spark, d):
+    return views.similar_links(table(spark, d, "passages"))
+
+
+@query(f"select case when outcome is not null then 'resolved' when b < date '{TODAY}' then 'overdue' when b <= date '{TODAY}' + 14 then 'due' else 'open' end as status, count(*) as n, round(sum((power(new_info - outcome::int, 2))::decimal(18,10))::double / nullif(count(outcome), 0), 4) as brier from (select (day + 90)::date b, new_info, case when materiality <> 1 then materiality >= 2 end outcome from ({_ROWS}) where day is not null) group by 1")
+def prediction_scores(spark, d):
+    r = rows(spark, d).where("day is not null")
+    stated = r.select(F.col("id").alias("prediction_id"), F.date_add("day", 90).alias("by"), F.col("new_info").alias("p"))
+    done = r.where("materiality <> 1").select(F.col("id").alias("prediction_id"), (F.col("materiality") >= 2).alias("outcome"))
+    return views.prediction_score(views.predictions(stated, done, today()))
+
+
+FACTS = ["Order backlog and gross margin rose", "Net leverage and free cash flow", "Customer churn widened in the export channel", "Lead time and inventory days fell", "Working capital, headcount and overhead", "Renewal rate of the subscription seat"]
+
+
+@query(
+    "with f as (select unnest([" + ", ".join(f"'{f}'" for f in FACTS) + "]) fact, unnest(range(" + str(len(FACTS)) + f")) i), w as (select item_id, list_distinct({_CONTENT('text')}) w from eval_items), x as (select item_id, i, case when len(w) = 0 then 0 else len(list_intersect(w, v))::double / (len(w) + len(v) - len(list_intersect(w, v))) end s from w, (select i, list_distinct({_CONTENT('fact')}) v from f)) select item_id, i::int as fact, place::int as place from (select *, row_number() over (partition by item_id order by s desc, i) place from x) where place <= 3"
+)
+def ranked_facts(spark, d):
+    best = table(spark, d, "eval_items").select("item_id", F.posexplode(views.ranked_facts("text", FACTS, 3)).alias("at", "fact"))
+    return best.select("item_id", "fact", (F.col("at") + 1).alias("place"))
+
+
+@query(
+    """with f as (select ticker, accession, form, doc_date as filed, (row_number() over (partition by ticker order by doc_date desc, doc_id desc) - 1)::int as position from documents where accession is not null and ticker is not null and doc_date is not null), c as (select ticker, accession as last_accession from f where position = 3),
+ s as (select f.*, sum(case when f.accession = c.last_accession or f.filed < date '2025-06-01' then 1 else 0 end) over (partition by f.ticker order by position) stops from f left join c on c.ticker = f.ticker)
+ select ticker, (row_number() over (partition by ticker order by position desc))::int as place, accession, form, filed from s where stops = 0 and form in ('10-K', '10-Q', '8-K')"""
+)
+def filings_since_cursor(spark, d):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("ticker").orderBy(F.desc("doc_date"), F.desc("doc_id"))
+    filed = table(spark, d, "documents").where("accession is not null and ticker is not null and doc_date is not null").select("ticker", "accession", "form", F.col("doc_date").alias("filed"), (F.row_number().over(by) - 1).alias("position"))
+    cursors = filed.where("position = 3").select("ticker", F.col("accession").alias("last_accession"))
+    return views.since_cursor(filed, cursors, cutoff=F.lit("2025-06-01").cast("date"), forms=["10-K", "10-Q", "8-K"])
+
+
+@query("select x.metric_id, m.kind, count(*) as n from (select distinct mention_id, metric_id, kind from mentions) m join metrics x using (metric_id) where list_contains(case when lower(replace(x.unit, ' ', '')) in ('%', 'percent', 'pct') then ['percent'] when lower(replace(x.unit, ' ', '')) in ('bps', 'bp', 'basispoints') then ['bps'] when lower(replace(x.unit, ' ', '')) in ('pp', 'pts', 'points', 'percentagepoints') then ['bps', 'percent'] when x.unit like '$%' or lower(x.unit) in ('usd', 'dollars') then ['currency'] when lower(x.unit) in ('day', 'days') then ['days'] when lower(x.unit) in ('x', 'times', 'multiple') then ['multiple'] else ['count'] end, m.kind) group by 1, 2")
+def compatible_mentions(spark, d):
+    m = table(spark, d, "mentions").select("mention_id", "metric_id", "kind").distinct()
+    kinds = table(spark, d, "metrics").select("metric_id", views.admissible_kinds(F.col("unit")).alias("kinds"))
+    return m.join(kinds, "metric_id").where(F.array_contains("kinds", F.col("kind"))).groupBy("metric_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("select ticker, doc_id from (select ticker, doc_id, row_number() over (partition by ticker order by sha256(ticker || ':2026-09-30:' || doc_id::varchar), doc_id) k from documents where ticker is not null) where k <= 20")
+def spot_checks(spark, d):
+    return views.spot_checks(table(spark, d, "documents"), "ticker", "doc_id", day=TODAY)
+
+
+@query("select heavy, count(*) as n from (select distinct passage_id, length(regexp_replace(text, '[^0-9]', '', 'g')) >= length(regexp_replace(text, '[\t\n\x0b\f\r ]', '', 'g')) * 0.25 and length(regexp_replace(text, '[\t\n\x0b\f\r ]', '', 'g')) > 0 as heavy from passages where text is not null) group by 1")
+def number_heavy_passages(spark, d):
+    p = table(spark, d, "passages").where("text is not null").dropDuplicates(["passage_id"])
+    return p.groupBy(views.number_heavy("text").alias("heavy")).agg(F.count("*").alias("n"))
+
+
 # Sources and streams.
 
 
