@@ -8,12 +8,14 @@ is its range of hash values, so it needs no shift when probed. If two strings di
 most t shingles, at most t segments differ, so of each string the t + 1 most telling
 segments suffice: one of them is common to both. How telling a segment is comes from shingle
 frequencies in a bounded sample; that order changes the speed only, never the result.
+A key that very many documents share is settled by its earliest ones first, see _peel.
 Candidates are verified, first by a bound from their profiles, then by their exact distance; accepted documents' segments are appended.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,8 @@ SAMPLE, CELLS = 8_000, 1 << 22
 SHIFT = 64 - 22
 #: Segments, as a share of a length class's upper end; more than (1 - J) / J of it, and few, so that segments are long.
 SPARE = 0.27
+#: Nodes that share a key and are paired with each other, at most; of more, leaders reject what is alike to them first.
+HOT = 500
 #: Bins of the profile that bounds an edit distance from below.
 BINS = 64
 
@@ -129,6 +133,53 @@ def _decide(nodes: DataFrame, links: DataFrame, *, most: int = 1_000) -> DataFra
     return state
 
 
+def _pairs(probes: DataFrame, firsts: DataFrame, out: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes that share a key, but for pairs whose earlier node is in ``out``: it is rejected and can't reject."""
+    gone = F.coalesce("gone", F.lit(False))
+    known = probes.join(firsts.select("node", "first"), "node").join(out.select("node", F.lit(True).alias("gone")), "node", "left").select("key", F.struct("first", "node").alias("o"), "node", gone.alias("gone"))
+    x = known.where(~F.col("gone")).select("key", F.col("o").alias("ox"), F.col("node").alias("x"))
+    y = known.select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
+    return x.join(y, "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable[[DataFrame], DataFrame], *, hot: int, most: int = 100) -> DataFrame:
+    """(node): ``out``, what is rejected already, and nodes of hot keys that an accepted node surely rejects, found without pairing the nodes of a hot key with each other.
+
+    Of every key with over ``hot`` open nodes the earliest one leads. Leaders are settled by
+    what they depend on alone: their earlier alike nodes, those of these, and so on. The
+    nodes of the key alike to an accepted leader are rejected; a leader settled is not open
+    any more. A family of alike texts is gone after a round, whatever its size; keys that stay hot
+    lose their leaders, one a round, up to ``most`` rounds, and what is left is paired in full.
+    """
+    led = probes.sparkSession.createDataFrame([], "node long")
+    placed = probes.join(firsts.select("node", "first"), "node").select("key", "node", F.struct("first", "node").alias("o"))
+    for _ in range(most):
+        open_ = placed.join(out.union(led).distinct(), "node", "left_anti")
+        lead = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("o").alias("lead")).where(F.col("n") > hot).select("key", "lead"))
+        if not lead.limit(1).count():
+            break
+        leaders = cut(lead.select(F.col("lead.node").alias("node")).distinct())
+        # what the leaders depend on: earlier nodes of their keys that are alike, then theirs
+        seen, todo, edges = leaders, leaders, None
+        while todo.limit(1).count():
+            mine = placed.join(todo, "node", "left_semi").select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
+            met = mine.join(placed.select("key", F.col("o").alias("ox"), F.col("node").alias("x")), "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            alike = verify(cut(met)).select("a", "b")
+            new = cut(near.ends(alike).join(seen, "node", "left_anti"))
+            edges = cut(alike if edges is None else edges.union(alike).distinct())
+            seen, todo = cut(seen.union(new)), new
+        order = firsts.select("node", F.struct("first", "node").alias("o"))
+        directed = edges.join(order.select(F.col("node").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("node").alias("b"), F.col("o").alias("ob")), "b")
+        directed = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
+        settled = _decide(seen.join(firsts.select("node", "accepted"), "node"), directed)
+        accepted = leaders.join(settled.where("verdict = 'in'"), "node", "left_semi")
+        star = placed.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi").join(out.withColumnRenamed("node", "y"), "y", "left_anti")
+        alike = verify(cut(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select("a", "b")
+        hit = near.ends(alike).join(accepted, "node", "left_anti").union(settled.where("verdict = 'out'").select("node"))
+        out, led = cut(out.union(hit).distinct()), cut(led.union(leaders).distinct())
+    return out
+
+
 class History:
     """The accepted documents so far: a segment index in a folder that all executors share.
 
@@ -137,8 +188,8 @@ class History:
     the sets of its candidates; nothing accepted is hashed again.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, least: float = 0.8, k: int = 3) -> None:
-        self.spark, self.least, self.k = spark, least, k
+    def __init__(self, spark: SparkSession, path: str | None = None, *, least: float = 0.8, k: int = 3, hot: int = HOT) -> None:
+        self.spark, self.least, self.k, self.hot = spark, least, k, hot
         self.path = path or f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
         self.batches = 0
         self.counts: np.ndarray | None = None
@@ -165,26 +216,38 @@ class History:
         order = F.struct("at", F.col(row_id).alias("id"))
         first = members.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
 
-        probes = near.runs(rows)
-        old_keys, old_sets, old_first = self._read("segments"), self._read("sets"), self._read("arrivals")
-        old_marks = self._read("profiles")
-        marks = rows.select("node", "mark") if old_marks is None else rows.select("node", "mark").union(old_marks.select("node", "mark"))
-        may = lambda x, y: in_reach(x, y, least)
-        if old_keys is not None:
-            own = rows.select("node", F.explode("keys").alias("key"))
-            met = own.join(old_keys.withColumnRenamed("node", "old"), "key").where("node <> old").select(F.least("node", "old").alias("a"), F.greatest("node", "old").alias("b"))
-            pairs = cut(near.promising(near.together(cut(probes)).union(met).distinct(), marks, may))
-        else:
-            pairs = cut(near.promising(near.together(cut(probes)), marks, may))
-        sets = near.sets_of(batch, row_id, text, members, near.ends(pairs), k=self.k)
-        if old_sets is not None:
-            sets = sets.union(old_sets.join(near.ends(pairs), "node", "left_semi")).dropDuplicates(["node"])
-        links = cut(near.alike(pairs, sets, self.least).select("a", "b"))
-
+        old_keys, old_sets, old_first, old_marks = (self._read(n) for n in ("segments", "sets", "arrivals", "profiles"))
         firsts = first.select("node", "first", F.lit(False).alias("accepted"))
-        if old_first is not None:
+        marks = rows.select("node", "mark")
+        if old_marks is not None:
+            marks = marks.union(old_marks.select("node", "mark"))
             old = old_first.select("node", F.struct("at", F.col("doc_id").alias("id")).alias("first"), F.lit(True).alias("accepted"))
             firsts = old.union(firsts).groupBy("node").agg(F.max("accepted").alias("accepted"), F.max_by("first", "accepted").alias("first")).select("node", "first", "accepted")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            """The pairs that are alike, by profile and then exactly."""
+            close = cut(near.promising(pairs, marks, lambda x, y: in_reach(x, y, least)))
+            sets = near.sets_of(batch, row_id, text, members, near.ends(close), k=self.k)
+            if old_sets is not None:
+                sets = sets.union(old_sets.join(near.ends(close), "node", "left_semi")).dropDuplicates(["node"])
+            return cut(near.alike(close, sets, least))
+
+        out, known = self.spark.createDataFrame([], "node long"), None
+        if old_keys is not None:  # what history rejects can't reject anything
+            own = rows.select("node", F.explode("keys").alias("key"))
+            met = own.join(old_keys.withColumnRenamed("node", "old"), "key").where("node <> old").select(F.least("node", "old").alias("a"), F.greatest("node", "old").alias("b")).distinct()
+            known = verify(met).select("a", "b")
+            out = cut(near.ends(known).join(old_first.select("node"), "node", "left_anti"))
+        probes = cut(near.runs(rows))
+        hottest = probes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        if hottest > self.hot:
+            firsts = cut(firsts)
+            pairs = _pairs(probes, firsts, _peel(probes, firsts, out, verify, hot=self.hot))
+        else:
+            pairs = near.together(probes)
+        links = verify(pairs).select("a", "b")
+        links = links if known is None else cut(links.union(known).distinct())
+
         ends = cut(near.ends(links).join(firsts, "node"))
         x, y = (ends.select(F.col("node").alias(v), F.struct(~F.col("accepted"), "first", "node").alias(f"o{v}")) for v in "ab")
         ordered = cut(links.join(x, "a").join(y, "b").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))

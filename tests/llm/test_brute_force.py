@@ -78,6 +78,43 @@ def test_history_in_batches_equals_one_batch(spark):
     assert got == wanted_rejections()
 
 
+def test_history_settles_hot_families_first(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    rows, n = [], 0
+    for _ in range(4):  # families of different texts that are nearly all alike
+        base = rnd.sample(words, 120)
+        for _ in range(60):
+            t = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(120)] = rnd.choice(words)
+            rows.append((n, " ".join(t)))
+            n += 1
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").selectExpr("*", "cast(null as timestamp) as ingested_at")
+    accepted, want = [], set()
+    for i, t in sorted(rows):
+        s = shingles(t)
+        twin = next((j for j, o in accepted if like(s, o) >= 0.8), None)
+        if twin is None:
+            accepted.append((i, s))
+        else:
+            want.add((i, twin))
+    made = []
+    whole = history._pairs
+    monkeypatch.setattr(history, "_pairs", lambda *a: made.append(whole(*a)) or made[-1])
+    for hot in (10, 500):
+        got = {tuple(r) for r in history.History(spark, hot=hot).check(docs, append=False).collect()}
+        assert got == want
+    assert len(made) == 1 and made[0].count() < 240 * len(accepted)
+    known, got = history.History(spark, hot=10), set()
+    for part in ("doc_id < 50", "doc_id >= 50"):
+        got |= {tuple(r) for r in known.check(docs.where(part)).collect()}
+    assert got == want
+
+
 def test_repeated_lines_equal_sql(spark):
     d = SF
     sql = f"""with l as (select distinct p.passage_id, p.document_id, source, unnest(string_split(p.text, chr(10))) line, generate_subscripts(string_split(p.text, chr(10)), 1) line_no from '{d}/passages.parquet' p join '{d}/documents.parquet' d on d.doc_id = p.document_id),
