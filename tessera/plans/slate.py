@@ -419,7 +419,8 @@ def as_of_events(spark, d):
 
 @query()
 def number_mentions(spark, d):
-    return table(spark, d, "mentions").dropDuplicates(["mention_id"]).where("sentence is not null").select("mention_id", F.explode(py.find_mentions("sentence")).alias("m")).select("mention_id", "m.id", "m.text", "m.kind", "m.value", "m.high")
+    p = table(spark, d, "passages").where("text is not null").select("passage_id", "text").dropDuplicates(["passage_id"])
+    return p.select("passage_id", F.explode(py.find_mentions("text")).alias("m")).select("passage_id", "m.id", "m.text", "m.kind", "m.value", "m.high")
 
 
 @query()

@@ -215,3 +215,37 @@ def test_entry_has_a_stable_schema(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["passage_id", "score", "doc_ticker"] and df.count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_number_mentions_read_whole_passages(spark, tmp_path):
+    from tessera.functions import pyfuncs as py
+
+    figures = " ".join(f"It grew {i}.5%." for i in range(50))
+    texts = [
+        (1, "Sales rose to $1.5 billion. Margin was 20% to 21%,\nafter costs fell by 25 bps.\n| (1.2%) | 30 days |"),
+        (1, "Sales rose to $1.5 billion. Margin was 20% to 21%,\nafter costs fell by 25 bps.\n| (1.2%) | 30 days |"),
+        (2, "No figures here."),
+        (3, None),
+        (4, ""),
+        (5, "filler words only " * 2000 + "then 41,000 units were sold at 2.5x cover."),
+        (6, figures),
+    ]
+    spark.createDataFrame(texts, "passage_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/passages.parquet")
+    told = [(1, 2, "$1.5 billion", "Sales rose to $1.5 billion.")]  # an earlier cut must not be what is read
+    spark.createDataFrame(told, "mention_id long, passage_id long, text string, sentence string").coalesce(1).write.parquet(f"{tmp_path}/mentions.parquet")
+    got = slate.number_mentions(spark, str(tmp_path))
+    assert got.columns == ["passage_id", "id", "text", "kind", "value", "high"]
+    want = [
+        (1, "m1", "$1.5 billion", "currency", 1.5e9, None),
+        (1, "m2", "20% to 21%", "percent", 20.0, 21.0),
+        (1, "m3", "25 bps", "bps", -25.0, None),
+        (1, "m4", "(1.2%)", "percent", -1.2, None),
+        (1, "m5", "30 days", "days", 30.0, None),
+        (5, "m1", "41,000 units", "count", 41000.0, None),
+        (5, "m2", "2.5x", "multiple", 2.5, None),
+    ]
+    want += [(6, f"m{i + 1}", f"{i}.5%", "percent", i + 0.5, None) for i in range(40)]  # the finder's limit
+    assert rows(got) == sorted(want, key=str)
+    plain_texts = duckdb.sql(f"select distinct passage_id, text from '{SF}/passages.parquet' where text is not null").fetchall()
+    want = [(i, m["id"], m["text"], m["kind"], m["value"], m["high"]) for i, t in plain_texts for m in py.mentions_of(t)]
+    assert rows(slate.number_mentions(spark, SF)) == sorted(want, key=str) and want
