@@ -194,24 +194,26 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def components(pairs: DataFrame, *, most: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``pairs`` (a, b) is linked to over any number of links.
 
-    Each round takes the smallest root among the neighbours, then the root's root, and cuts
-    the lineage; rounds grow with the logarithm of a chain's length. No link leaves the executors.
+    Each round a node takes the smallest of its root's root and its neighbours' roots' roots, its
+    root takes the same one, and the lineage is cut. Roots only sink, so it ends, and only
+    when nothing moves: then all linked nodes have one root. Chains of 60 to 100,000 nodes, in
+    order or shuffled, take about the logarithm of their length in rounds. No link leaves the executors.
     """
     links = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(most):
-        near = links.join(roots, links["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = roots.join(near, roots["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
-        up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        step = cut(step.join(up, step["root"] == up["n2"], "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "old"))
+    while True:
+        tops = roots.join(roots.select(F.col("node").alias("n2"), F.col("root").alias("top")), F.col("root") == F.col("n2")).select("node", "root", "top")
+        near = links.join(tops.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("m"))
+        met = cut(tops.join(near, F.col("node") == F.col("a")).select("node", "root", "top", "m"))
+        hooks = met.groupBy(F.col("root").alias("n2")).agg(F.min("m").alias("hook"))
+        step = cut(met.join(hooks, F.col("node") == F.col("n2"), "left").select("node", F.least("root", "top", "m", "hook").alias("root"), F.col("root").alias("old")))
         moved = step.where("root < old").limit(1).count()
         roots = step.select("node", "root")
         if not moved:
             return roots
-    return roots
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -100,3 +100,25 @@ def test_turns(spark, odd_passages):
     got = turns.turns(odd_passages, people, words=False)
     assert rows(got) == [(1, 1, 0, 1)]
     assert rows(turns.turns(odd_passages.limit(0), people)) == [] and rows(turns.turns(odd_passages, people.limit(0))) == []
+
+
+@pytest.mark.parametrize("order", ["back", "shuffled"])
+def test_components_of_long_chains(spark, order):
+    import random
+
+    from tessera.llm import near
+
+    n = 300
+    chain = [0, *range(n, 0, -1)]
+    if order == "shuffled":
+        random.Random(3).shuffle(chain)
+    pairs = [(min(p), max(p)) for p in zip(chain, chain[1:])] + [(1000, 1001)]
+    got = rows(near.components(spark.createDataFrame(pairs, "a long, b long")))
+    assert got == sorted([(i, 0) for i in range(n + 1)] + [(1000, 1000), (1001, 1000)], key=str)
+
+
+def test_a_passage_revised_step_by_step_is_one_group(spark):
+    words = [f"w{i}" for i in range(5 * 400 + 40)]
+    some = passages(spark, [(i, i, 0, 1, 0, 1, None, " ".join(words[5 * i : 5 * i + 40])) for i in range(400)])
+    got = neardup.similar_groups(some).collect()
+    assert len(got) == 400 and {r.group_id for r in got} == {0} and {r.n_links for r in got} == {1, 2}
