@@ -146,7 +146,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
     """(node): ``out``, what is rejected already, and nodes of hot keys that an accepted node surely rejects, found without pairing the nodes of a hot key with each other.
 
     Of every key with over ``hot`` open nodes the earliest one leads. Leaders are settled by
-    what they depend on alone: their earlier alike nodes, those of these, and so on. The
+    what they depend on alone: their earlier alike nodes that aren't in ``out``, those of these, and so on. The
     nodes of the key alike to an accepted leader are rejected; a leader settled is not open
     any more. A family of alike texts is gone after a round, whatever its size; keys that stay hot
     lose their leaders, one a round, up to ``most`` rounds, and what is left is paired in full.
@@ -154,7 +154,8 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
     led = probes.sparkSession.createDataFrame([], "node long")
     placed = probes.join(firsts.select("node", "first"), "node").select("key", "node", F.struct("first", "node").alias("o"))
     for _ in range(most):
-        open_ = placed.join(out.union(led).distinct(), "node", "left_anti")
+        alive = placed.join(out, "node", "left_anti")  # what is rejected, by history or here, can't reject a leader
+        open_ = alive.join(led, "node", "left_anti")
         lead = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("o").alias("lead")).where(F.col("n") > hot).select("key", "lead"))
         if not lead.limit(1).count():
             break
@@ -162,8 +163,8 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
         # what the leaders depend on: earlier nodes of their keys that are alike, then theirs
         seen, todo, edges = leaders, leaders, None
         while todo.limit(1).count():
-            mine = placed.join(todo, "node", "left_semi").select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
-            met = mine.join(placed.select("key", F.col("o").alias("ox"), F.col("node").alias("x")), "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            mine = alive.join(todo, "node", "left_semi").select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
+            met = mine.join(alive.select("key", F.col("o").alias("ox"), F.col("node").alias("x")), "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             alike = verify(cut(met)).select("a", "b")
             new = cut(near.ends(alike).join(seen, "node", "left_anti"))
             edges = cut(alike if edges is None else edges.union(alike).distinct())
@@ -173,7 +174,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
         directed = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
         settled = _decide(seen.join(firsts.select("node", "accepted"), "node"), directed)
         accepted = leaders.join(settled.where("verdict = 'in'"), "node", "left_semi")
-        star = placed.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi").join(out.withColumnRenamed("node", "y"), "y", "left_anti")
+        star = alive.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi")
         alike = verify(cut(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select("a", "b")
         hit = near.ends(alike).join(accepted, "node", "left_anti").union(settled.where("verdict = 'out'").select("node"))
         out, led = cut(out.union(hit).distinct()), cut(led.union(leaders).distinct())

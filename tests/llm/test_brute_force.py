@@ -225,3 +225,32 @@ def test_turns_of_a_hand_made_call(spark):
         (7, 5, 2, 6, "Right.\nStill me."),
         (7, 6, 3, 8, "Typo."),
     ]
+
+
+def drifting(spark, families=3, n=60, step=5, length=100):
+    """(documents, expected pairs, documents of the first batch): families whose texts move on word by word; every ninth one arrives in the first batch."""
+    import random
+
+    rnd = random.Random(11)
+    texts = [" ".join(f"f{f}w{step * i + j}" for j in range(length)) for f in range(families) for i in range(n)]
+    first = [t for i, t in enumerate(texts) if i % n % 9 == 0]
+    later = [t for i, t in enumerate(texts) if i % n % 9]
+    rnd.shuffle(later)
+    docs = list(enumerate(first + later))
+    accepted, want = [], set()
+    for i, t in docs:
+        s = shingles(t)
+        twin = next((j for j, o in accepted if like(s, o) >= 0.8), None)
+        if twin is None:
+            accepted.append((i, s))
+        else:
+            want.add((i, twin))
+    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "timestamp_micros(doc_id * 1000000) as ingested_at"), want, len(first)
+
+
+def test_history_remembers_rejections_while_it_settles_hot_families(spark):
+    docs, want, n = drifting(spark)
+    known = history.History(spark, hot=5)
+    got = {tuple(r) for r in known.check(docs.where(f"doc_id < {n}")).collect()}
+    got |= {tuple(r) for r in known.check(docs.where(f"doc_id >= {n}"), append=False).collect()}
+    assert got == want
