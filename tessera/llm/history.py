@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -187,6 +188,11 @@ class History:
     ``segments`` has (key, node), ``profiles`` (node, mark), ``sets`` (node, shingles), ``arrivals`` (node, at, doc_id of
     the earliest accepted copy). A batch reads only the segments whose keys it has, and only
     the sets of its candidates; nothing accepted is hashed again.
+
+    ``settings`` has the parameters and the shingle frequencies that choose a text's segments, so
+    a folder opened again goes on as before; other parameters than its own are refused. Each
+    batch is a part of its own and counts once its mark in ``batches`` is there; a part
+    that broke off is written anew.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, least: float = 0.8, k: int = 3, hot: int = HOT) -> None:
@@ -194,9 +200,25 @@ class History:
         self.path = path or f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
         self.batches = 0
         self.counts: np.ndarray | None = None
+        while self._marked(self.batches):
+            self.batches += 1
+        if self.batches:
+            kept = spark.read.parquet(f"{self.path}/settings").first()
+            if (kept.least, kept.k) != (least, k):
+                raise ValueError(f"the index in {self.path} was made with least={kept.least}, k={kept.k}")
+            self.counts = np.frombuffer(bytes(kept.counts), np.uint8)
+
+    def _mark(self, batch: int):
+        """(file system, path) of the empty file that says a batch is complete."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/{batch}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _marked(self, batch: int) -> bool:
+        files, path = self._mark(batch)
+        return files.exists(path)
 
     def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{name}") if self.batches else None
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < self.batches).drop("batch") if self.batches else None
 
     def check(self, batch: DataFrame, row_id: str = "doc_id", text: str = "text", at: str = "ingested_at", *, append: bool = True) -> DataFrame:
         """(doc_id, twin): the rejected documents of the batch, each with the earliest accepted document it is alike to.
@@ -269,13 +291,29 @@ class History:
         return found
 
     def _append(self, batch: DataFrame, row_id: str, text: str, rows: DataFrame, members: DataFrame, new: DataFrame) -> None:
-        rows.select("node", F.explode("keys").alias("key")).join(new.select("node"), "node", "left_semi").distinct().write.mode("append").parquet(f"{self.path}/segments")
-        rows.where("mark is not null").join(new.select("node"), "node", "left_semi").groupBy("node").agg(F.max("mark").alias("mark")).write.mode("append").parquet(f"{self.path}/profiles")
-        near.sets_of(batch, row_id, text, members.select(row_id, "node"), new.select("node"), k=self.k).write.mode("append").parquet(f"{self.path}/sets")
-        new.select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id")).write.mode("append").parquet(f"{self.path}/arrivals")
+        if not self.batches:
+            self.spark.createDataFrame([(self.least, self.k, self.counts.tobytes())], "least double, k int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
+        rows.select("node", F.explode("keys").alias("key")).join(new.select("node"), "node", "left_semi").distinct().write.mode("overwrite").parquet(f"{self.path}/segments/batch={self.batches}")
+        rows.where("mark is not null").join(new.select("node"), "node", "left_semi").groupBy("node").agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{self.path}/profiles/batch={self.batches}")
+        near.sets_of(batch, row_id, text, members.select(row_id, "node"), new.select("node"), k=self.k).write.mode("overwrite").parquet(f"{self.path}/sets/batch={self.batches}")
+        new.select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id")).write.mode("overwrite").parquet(f"{self.path}/arrivals/batch={self.batches}")
+        files, mark = self._mark(self.batches)
+        files.create(mark).close()
         self.batches += 1
 
 
 def rejected(documents: DataFrame, *, least: float = 0.8, k: int = 3) -> DataFrame:
     """(doc_id, twin) of every document rejected when all arrive in order: one batch against an empty history."""
     return History(documents.sparkSession, least=least, k=k).check(documents, append=False)
+
+
+def rejected_in_batches(documents: DataFrame, *, parts: int = 4, least: float = 0.8, k: int = 3, at: str = "ingested_at") -> DataFrame:
+    """As ``rejected``, with the documents arriving in ``parts`` batches of about one size by ``at``, each checked by an index opened again."""
+    spark = documents.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    edges = documents.select(when.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    edges = sorted({int(e) for e in edges})
+    number = sum((F.coalesce(when > e, F.lit(True)).cast("int") for e in edges), F.lit(0))
+    found = [History(spark, path, least=least, k=k).check(documents.where(number == i), at=at, append=i < len(edges)) for i in range(len(edges) + 1)]
+    return reduce(DataFrame.union, found)

@@ -254,3 +254,22 @@ def test_history_remembers_rejections_while_it_settles_hot_families(spark):
     got = {tuple(r) for r in known.check(docs.where(f"doc_id < {n}")).collect()}
     got |= {tuple(r) for r in known.check(docs.where(f"doc_id >= {n}"), append=False).collect()}
     assert got == want
+
+
+def test_history_is_opened_again(spark, tmp_path):
+    docs = frame(spark, "documents")
+    order, got = [i for i, *_ in arrivals()], set()
+    for part in (order[:40], order[40:70], order[70:]):
+        got |= {tuple(r) for r in history.History(spark, str(tmp_path / "index")).check(docs.where(docs.doc_id.isin(part))).collect()}
+    assert got == wanted_rejections()
+    again = history.History(spark, str(tmp_path / "index"))
+    assert again.batches == 3 and again.counts.any()
+    with pytest.raises(ValueError):
+        history.History(spark, str(tmp_path / "index"), least=0.7)
+
+
+def test_history_in_batches_by_time_equals_sequential_rule(spark):
+    from tessera.llm import queries
+
+    want = {(min(p), max(p)) for p in wanted_rejections()}
+    assert {tuple(r) for r in queries.p4_batches(spark, SF).collect()} == want and want
