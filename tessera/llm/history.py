@@ -15,10 +15,12 @@ Candidates are verified, first by a bound from their profiles, then by their exa
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ SHIFT = 64 - 22
 SPARE = 0.27
 #: Nodes that share a key and are paired with each other, at most; of more, leaders reject what is alike to them first.
 HOT = 500
+#: Rounds of settling by joins before one task settles what is open, and the links it may hold for that.
+ROUNDS, ALONE = 20, 1_000_000
 #: Bins of the profile that bounds an edit distance from below.
 BINS = 64
 
@@ -112,15 +116,38 @@ def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np
     return owners[order], keys[order].view(np.int64), profiles(flat, offsets)
 
 
-def _decide(nodes: DataFrame, links: DataFrame, *, most: int = 1_000) -> DataFrame:
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, verdict) of every open node from all links (early, late, ev) to open nodes, one node after another."""
+    verdict, before, after = {}, defaultdict(list), defaultdict(list)
+    for pdf in batches:
+        for early, late, ev in zip(pdf["early"].tolist(), pdf["late"].tolist(), pdf["ev"].tolist()):
+            if isinstance(ev, str):
+                verdict[early] = ev
+            before[late].append(early)
+            after[early].append(late)
+    waits = {late: sum(e not in verdict for e in some) for late, some in before.items()}
+    ready, done = [late for late, n in waits.items() if not n], []
+    while ready:
+        node = ready.pop()
+        verdict[node] = "out" if any(verdict[e] == "in" for e in before[node]) else "in"
+        done.append(node)
+        for late in after[node]:
+            waits[late] -= 1
+            if not waits[late]:
+                ready.append(late)
+    yield pd.DataFrame({"node": np.asarray(done, np.int64), "verdict": pd.Series([verdict[n] for n in done], dtype=object)})
+
+
+def _decide(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, verdict) of the linked nodes, in arrival order: 'in' unless an earlier 'in' is linked.
 
     links: (early, late), early arrives first. Each round settles every node whose earlier
     neighbours are settled, and every neighbour of a node accepted; the earliest open node is
-    always settled, so it ends.
+    always settled, so it ends. Long chains settle few nodes a round: what is open after ROUNDS
+    of them is settled by one task, as soon as it has no more than ALONE links.
     """
-    state = cut(nodes.select("node", F.when(F.col("accepted"), "in").alias("verdict")))
-    for _ in range(most):
+    state, done = cut(nodes.select("node", F.when(F.col("accepted"), "in").alias("verdict"))), 0
+    while True:
         early = links.join(state.select(F.col("node").alias("early"), F.col("verdict").alias("ev")), "early")
         seen = early.groupBy("late").agg(F.max(F.col("ev") == "in").alias("hit"), F.sum(F.col("ev").isNull().cast("int")).alias("open"))
         state = cut(
@@ -129,9 +156,13 @@ def _decide(nodes: DataFrame, links: DataFrame, *, most: int = 1_000) -> DataFra
                 F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.coalesce("hit", F.lit(False)), "out").when(F.coalesce("open", F.lit(0)) == 0, "in").alias("verdict"),
             )
         )
+        done += 1
         if not state.where("verdict is null").limit(1).count():
-            break
-    return state
+            return state
+        if done >= ROUNDS:
+            rest = links.join(state.where("verdict is null").select(F.col("node").alias("late")), "late").join(state.select(F.col("node").alias("early"), F.col("verdict").alias("ev")), "early").select("early", "late", "ev")
+            if rest.limit(ALONE + 1).count() <= ALONE:
+                return cut(state.where("verdict is not null").union(rest.repartition(1).mapInPandas(_settle, "node long, verdict string")))
 
 
 def _pairs(probes: DataFrame, firsts: DataFrame, out: DataFrame) -> DataFrame:

@@ -273,3 +273,17 @@ def test_history_in_batches_by_time_equals_sequential_rule(spark):
 
     want = {(min(p), max(p)) for p in wanted_rejections()}
     assert {tuple(r) for r in queries.p4_batches(spark, SF).collect()} == want and want
+
+
+def test_verdicts_of_a_long_chain(spark):
+    n = 1100
+    nodes = spark.createDataFrame([(i, i == 0) for i in range(n)], "node long, accepted boolean")
+    links = [(i, i + 1) for i in range(n - 1)] + [(i, i + 7) for i in range(0, n - 7, 50)]
+    before = {}
+    for a, b in links:
+        before.setdefault(b, []).append(a)
+    want = {}
+    for i in range(n):
+        want[i] = "out" if any(want[e] == "in" for e in before.get(i, ())) else "in"
+    got = history._decide(nodes, spark.createDataFrame(links, "early long, late long")).collect()
+    assert len(got) == n and {r.node: r.verdict for r in got} == want
