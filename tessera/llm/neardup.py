@@ -68,20 +68,26 @@ def _found(df: DataFrame, row_id: str, text: str, *, least: float, least_words:
 def similar_pairs(df: DataFrame, row_id: str = "passage_id", text: str = "text", *, least: float = 0.7, least_words: int = 30, k: int = 3, spread: int = SPREAD) -> DataFrame:
     """(lo, hi) of rows whose texts have a likeness of at least ``least``, lo < hi, each once.
 
-    Of a group of exact copies (same shingle set), the first ``spread`` members by id are
-    paired with one another and with those of every alike group. Any further member is
-    paired with the first member of its own group and of every alike one: no link between
-    different texts is lost, and the result stays linear in the size of a group of copies.
+    Of a group of exact copies (same text), the first ``spread`` members by id are paired with
+    one another and with those of every alike group. Any further member is paired with the
+    first member of its own group and of every alike one: no link between different texts
+    is lost, and the result stays linear in the size of a group of copies. Texts that differ in
+    case, punctuation or blanks are different ones, though they share a shingle set.
     Null and blank texts, and texts under ``least_words`` words, have no pairs; an empty
     table gives an empty result; repeated rows count once; other columns are ignored.
     """
     members, links = _found(df, row_id, text, least=least, least_words=least_words, k=k)
     involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     by = Window.partitionBy("node").orderBy(row_id)
-    ranked = near.kept(members.withColumn("rank", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("node"))))
+    sized = near.kept(members.withColumn("rank", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("node"))))
+    large = sized.where(f"n > {spread}").drop("rank")
+    exact = df.select(F.col(row_id).cast("long").alias(row_id), F.sha2(F.col(text).cast("string"), 256).alias("same_text")).join(large, row_id, "left_semi").groupBy(row_id).agg(F.min("same_text").alias("same_text"))
+    within = Window.partitionBy("node", "same_text").orderBy(row_id)
+    apart = large.join(exact, row_id).withColumn("rank", F.row_number().over(within)).select(row_id, "node", "rank", "n")
+    ranked = near.kept(sized.where(f"n <= {spread}").select(row_id, "node", "rank", "n").union(apart))
     copies = ranked.where("n > 1").select("node", row_id, "rank")
     x, y = (copies.select("node", F.col(row_id).alias(v), F.col("rank").alias(f"r{v}")) for v in "xy")
-    same = x.where(f"rx <= {spread}").join(y, "node").where(f"rx < ry and (ry <= {spread} or rx = 1)").select("x", "y")
+    same = x.where(f"rx <= {spread}").join(y, "node").where(f"x <> y and (ry <= {spread} or rx = 1)").select("x", "y")
     linked = ranked.join(involved, "node", "left_semi")
     p = linked.select(F.col("node").alias("a"), F.col(row_id).alias("x"), F.col("rank").alias("rx"))
     q = linked.select(F.col("node").alias("b"), F.col(row_id).alias("y"), F.col("rank").alias("ry"))

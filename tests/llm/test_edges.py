@@ -122,3 +122,10 @@ def test_a_passage_revised_step_by_step_is_one_group(spark):
     some = passages(spark, [(i, i, 0, 1, 0, 1, None, " ".join(words[5 * i : 5 * i + 40])) for i in range(400)])
     got = neardup.similar_groups(some).collect()
     assert len(got) == 400 and {r.group_id for r in got} == {0} and {r.n_links for r in got} == {1, 2}
+
+
+def test_variants_with_one_shingle_set_are_not_copies(spark):
+    variants = [BODY + "." * i for i in range(12)]
+    some = passages(spark, [(i, i, 0, 1, 0, 1, None, t) for i, t in enumerate(variants)] + [(1000, 1, 0, 1, 0, 1, None, BODY + "and one more")])
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12)} | {(i, 1000) for i in range(12)}
+    assert set(rows(neardup.similar_pairs(some, spread=8))) == want
