@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,8 +47,9 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    local tests, a temporary folder is chosen and set on the context.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is
+    local, as in tests, a temporary folder is chosen and set on the context; a cluster without
+    the setting is refused, since a folder of one machine would not be seen by the others.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -56,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
         return given
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get()
