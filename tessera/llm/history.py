@@ -35,8 +35,12 @@ SHIFT = 64 - 22
 SPARE = 0.27
 #: Nodes that share a key and are paired with each other, at most; of more, leaders reject what is alike to them first.
 HOT = 500
-#: Rounds of settling by joins before one task settles what is open, and the links it may hold for that.
-ROUNDS, ALONE = 20, 1_000_000
+#: Links that one task may hold to settle what is open.
+ALONE = 1_000_000
+#: The arrival time, in microseconds, of documents without one.
+LAST = (1 << 63) - 1
+#: Keys of a batch that are looked up one by one, at most; and rows of a bucket that are held as a hash table, at most.
+PROBED, HELD = 1_000, 4_000_000
 #: Bins of the profile that bounds an edit distance from below.
 BINS = 64
 
@@ -126,7 +130,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before[late].append(early)
             after[early].append(late)
     waits = {late: sum(e not in verdict for e in some) for late, some in before.items()}
-    ready, done = [late for late, n in waits.items() if not n], []
+    ready, done = [node for node in {*before, *after} if node not in verdict and not waits.get(node)], []
     while ready:
         node = ready.pop()
         verdict[node] = "out" if any(verdict[e] == "in" for e in before[node]) else "in"
@@ -139,16 +143,21 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _decide(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, verdict) of the linked nodes, in arrival order: 'in' unless an earlier 'in' is linked.
+    """(node, verdict) of ``nodes`` in arrival order: 'in' unless an earlier 'in' is linked.
 
-    links: (early, late), early arrives first. Each round settles every node whose earlier
-    neighbours are settled, and every neighbour of a node accepted; the earliest open node is
-    always settled, so it ends. Long chains settle few nodes a round: what is open after ROUNDS
-    of them is settled by one task, as soon as it has no more than ALONE links.
+    links: (early, late), early arrives first. As soon as the links to open nodes are no more
+    than ALONE, one task settles them. Before, each round of joins settles every node whose
+    earlier neighbours are settled, and every neighbour of a node accepted; the earliest open
+    node is always settled, so it ends.
     """
-    state, done = cut(nodes.select("node", F.when(F.col("accepted"), "in").alias("verdict"))), 0
+    state = cut(nodes.select("node", F.lit(None).cast("string").alias("verdict")).distinct())
     while True:
-        early = links.join(state.select(F.col("node").alias("early"), F.col("verdict").alias("ev")), "early")
+        known = state.select(F.col("node").alias("early"), F.col("verdict").alias("ev"))
+        rest = links.join(state.where("verdict is null").select(F.col("node").alias("late")), "late").join(known, "early").select("early", "late", "ev")
+        if rest.limit(ALONE + 1).count() <= ALONE:
+            last = rest.repartition(1).mapInPandas(_settle, "node long, verdict string").withColumnRenamed("verdict", "last")
+            return cut(state.join(last, "node", "left").select("node", F.coalesce("verdict", "last", F.lit("in")).alias("verdict")))
+        early = links.join(known, "early")
         seen = early.groupBy("late").agg(F.max(F.col("ev") == "in").alias("hit"), F.sum(F.col("ev").isNull().cast("int")).alias("open"))
         state = cut(
             state.join(seen, state["node"] == seen["late"], "left").select(
@@ -156,13 +165,6 @@ def _decide(nodes: DataFrame, links: DataFrame) -> DataFrame:
                 F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.coalesce("hit", F.lit(False)), "out").when(F.coalesce("open", F.lit(0)) == 0, "in").alias("verdict"),
             )
         )
-        done += 1
-        if not state.where("verdict is null").limit(1).count():
-            return state
-        if done >= ROUNDS:
-            rest = links.join(state.where("verdict is null").select(F.col("node").alias("late")), "late").join(state.select(F.col("node").alias("early"), F.col("verdict").alias("ev")), "early").select("early", "late", "ev")
-            if rest.limit(ALONE + 1).count() <= ALONE:
-                return cut(state.where("verdict is not null").union(rest.repartition(1).mapInPandas(_settle, "node long, verdict string")))
 
 
 def _pairs(probes: DataFrame, firsts: DataFrame, out: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
         order = firsts.select("node", F.struct("first", "node").alias("o"))
         directed = edges.join(order.select(F.col("node").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("node").alias("b"), F.col("o").alias("ob")), "b")
         directed = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
-        settled = _decide(seen.join(firsts.select("node", "accepted"), "node"), directed)
+        settled = _decide(seen, directed)
         accepted = leaders.join(settled.where("verdict = 'in'"), "node", "left_semi")
         star = alive.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi")
         alike = verify(cut(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select("a", "b")
@@ -216,9 +218,11 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
 class History:
     """The accepted documents so far: a segment index in a folder that all executors share.
 
-    ``segments`` has (key, node), ``profiles`` (node, mark), ``sets`` (node, shingles), ``arrivals`` (node, at, doc_id of
-    the earliest accepted copy). A batch reads only the segments whose keys it has, and only
-    the sets of its candidates; nothing accepted is hashed again.
+    ``segments`` has (key, node), in buckets by key; ``arrivals`` (node, at, doc_id, mark) of the
+    earliest copy of each accepted text; ``texts`` (doc_id, text) of accepted documents. A batch is laid out by
+    key once and meets the stored buckets where they lie: history is neither hashed, nor
+    sorted, nor shuffled again. A batch of few keys reads only the buckets, and of
+    them the parts, that can have its keys. Of arrivals and texts only those of candidates leave the scan.
 
     ``settings`` has the parameters and the shingle frequencies that choose a text's segments, so
     a folder opened again goes on as before; other parameters than its own are refused. Each
@@ -229,7 +233,7 @@ class History:
     def __init__(self, spark: SparkSession, path: str | None = None, *, least: float = 0.8, k: int = 3, hot: int = HOT) -> None:
         self.spark, self.least, self.k, self.hot = spark, least, k, hot
         self.path = path or f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-        self.batches = 0
+        self.batches, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.counts: np.ndarray | None = None
         while self._marked(self.batches):
             self.batches += 1
@@ -237,19 +241,42 @@ class History:
             kept = spark.read.parquet(f"{self.path}/settings").first()
             if (kept.least, kept.k) != (least, k):
                 raise ValueError(f"the index in {self.path} was made with least={kept.least}, k={kept.k}")
-            self.counts = np.frombuffer(bytes(kept.counts), np.uint8)
+            self.counts, self.buckets = np.frombuffer(bytes(kept.counts), np.uint8), kept.buckets
 
-    def _mark(self, batch: int):
-        """(file system, path) of the empty file that says a batch is complete."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/{batch}")
+    def _file(self, name: str):
+        """(file system, path) of a file or folder of the index."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _marked(self, batch: int) -> bool:
-        files, path = self._mark(batch)
+        files, path = self._file(f"batches/{batch}")
         return files.exists(path)
 
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < self.batches).drop("batch") if self.batches else None
+    def remove(self) -> None:
+        """Deletes the index."""
+        files, path = self._file("")
+        files.delete(path, True)
+
+    def _read(self, name: str) -> DataFrame:
+        """A table of the index, without parts of batches that broke off."""
+        return self.spark.read.parquet(*(f"{self.path}/{name}/batch={i}" for i in range(self.batches)))
+
+    def _segments(self) -> tuple[str, DataFrame]:
+        """(name in the catalog, rows) of the stored segments, known to lie in buckets by key."""
+        name = f"segments_{uuid.uuid4().hex}"
+        self.spark.sql(f"create table {name} (key bigint, node bigint, batch int) using parquet partitioned by (batch) clustered by (key) into {self.buckets} buckets location '{self.path}/segments'")
+        self.spark.sql(f"alter table {name} add if not exists " + " ".join(f"partition (batch={i})" for i in range(self.batches)))
+        return name, self.spark.table(name).select("key", "node")
+
+    def meeting(self, own: DataFrame, segments: DataFrame) -> DataFrame:
+        """(a, b): nodes of ``own`` (key, node), laid out in the index's buckets, and stored nodes that share a key."""
+        few = [r.key for r in own.select("key").limit(PROBED + 1).collect()]
+        if len(few) <= PROBED:
+            segments = segments.where(F.col("key").isin(few))
+        mine = own.select("key", F.col("node").alias("a"))
+        if own.count() <= HELD * self.buckets:
+            mine = mine.hint("shuffle_hash")
+        return segments.select("key", F.col("node").alias("b")).join(mine, "key").select("a", "b").distinct()
 
     def check(self, batch: DataFrame, row_id: str = "doc_id", text: str = "text", at: str = "ingested_at", *, append: bool = True) -> DataFrame:
         """(doc_id, twin): the rejected documents of the batch, each with the earliest accepted document it is alike to.
@@ -258,93 +285,99 @@ class History:
         arrive after the batches before it. Null and blank texts and texts without a shingle
         (fewer than k words) are left out: neither rejected nor indexed. Ties in time go by
         id; a row given twice counts once; an empty batch gives an empty result; other columns
-        are ignored. With ``append`` the accepted documents join the index; the last batch
-        can leave that out.
+        are ignored. With ``append`` the accepted documents join the index.
         """
         if self.counts is None:
             self.counts = common_shingles(batch, text, self.k)
         counts, least = self.spark.sparkContext.broadcast(self.counts), self.least
-        rows = near.kept(near.keyed(batch, row_id, text, k=self.k, least_words=1, maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
-        times = batch.select(F.col(row_id).cast("long").alias(row_id), F.coalesce(F.col(at).cast("timestamp"), F.lit("9999-01-01").cast("timestamp")).alias("at"))
-        members = near.kept(rows.select(row_id, "node").join(times, row_id).groupBy(row_id, "node").agg(F.min("at").alias("at")))
-        order = F.struct("at", F.col(row_id).alias("id"))
-        first = members.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-
-        old_keys, old_sets, old_first, old_marks = (self._read(n) for n in ("segments", "sets", "arrivals", "profiles"))
-        firsts = first.select("node", "first", F.lit(False).alias("accepted"))
-        marks = rows.select("node", "mark")
-        if old_marks is not None:
-            marks = marks.union(old_marks.select("node", "mark"))
-            old = old_first.select("node", F.struct("at", F.col("doc_id").alias("id")).alias("first"), F.lit(True).alias("accepted"))
-            firsts = old.union(firsts).groupBy("node").agg(F.max("accepted").alias("accepted"), F.max_by("first", "accepted").alias("first")).select("node", "first", "accepted")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            """The pairs that are alike, by profile and then exactly."""
+        when = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(LAST))
+        rows = near.kept(near.keyed(batch, row_id, text, k=self.k, least_words=1, at=when, maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
+        nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col(row_id).alias("id"))).alias("first"), F.max("mark").alias("mark")))
+        own = near.kept(rows.select(F.explode("keys").alias("key"), "node").repartition(self.buckets, "key"))
+        ids = nodes.select(F.col("first.id").alias(row_id), "node")
+
+        def verify(pairs: DataFrame, marks: DataFrame = nodes, stored: DataFrame | None = None) -> DataFrame:
+            """The pairs that are alike, by profile and then exactly; ``stored``: (node, doc_id) of accepted ones."""
             close = cut(near.promising(pairs, marks, lambda x, y: in_reach(x, y, least)))
-            sets = near.sets_of(batch, row_id, text, members, near.ends(close), k=self.k)
-            if old_sets is not None:
-                sets = sets.union(old_sets.join(near.ends(close), "node", "left_semi")).dropDuplicates(["node"])
-            return cut(near.alike(close, sets, least))
-
-        out, known = self.spark.createDataFrame([], "node long"), None
-        if old_keys is not None:  # what history rejects can't reject anything
-            own = rows.select("node", F.explode("keys").alias("key"))
-            met = own.join(old_keys.withColumnRenamed("node", "old"), "key").where("node <> old").select(F.least("node", "old").alias("a"), F.greatest("node", "old").alias("b")).distinct()
-            known = verify(met).select("a", "b")
-            out = cut(near.ends(known).join(old_first.select("node"), "node", "left_anti"))
-        probes = cut(near.runs(rows))
+            wanted = near.small(cut(near.ends(close)))
+            texts = batch.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias("text")).where("text is not null")
+            picked = texts.join(near.small(cut(ids.join(wanted, "node"))), row_id).select("node", "text")
+            if stored is not None:
+                picked = picked.union(self._read("texts").join(near.small(cut(stored.join(wanted, "node"))), "doc_id").select("node", "text"))
+            return cut(near.alike(close, near.hashed(picked, "text", self.k), least))
+
+        refused = None  # (node, twin): what history rejects
+        if self.batches:
+            name, segments = self._segments()
+            old = self._read("arrivals")
+            pairs = cut(self.meeting(own, segments))
+            self.spark.sql(f"drop table {name}")
+            candidates = cut(old.join(near.small(cut(pairs.select(F.col("b").alias("node")).distinct())), "node").select("node", "mark", "doc_id", "at"))
+            alike = verify(pairs.where("a <> b"), nodes.select("node", "mark").union(candidates.select("node", "mark")), candidates.select("node", "doc_id")).select("a", "b")
+            alike = alike.union(pairs.where("a = b"))  # an accepted text that arrives again
+            refused = alike.join(candidates.select(F.col("node").alias("b"), F.struct("at", F.col("doc_id").alias("id")).alias("by")), "b").groupBy(F.col("a").alias("node")).agg(F.min("by").alias("twin"))
+            refused = cut(refused)
+        gone = None if refused is None else near.small(cut(refused.select("node")))
+        probes = cut(near.met(own if gone is None else own.join(gone, "node", "left_anti")))
         hottest = probes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         if hottest > self.hot:
-            firsts = cut(firsts)
-            pairs = _pairs(probes, firsts, _peel(probes, firsts, out, verify, hot=self.hot))
+            none = self.spark.createDataFrame([], "node long")
+            links = verify(_pairs(probes, nodes, _peel(probes, nodes, none, verify, hot=self.hot))).select("a", "b")
         else:
-            pairs = near.together(probes)
-        links = verify(pairs).select("a", "b")
-        links = links if known is None else cut(links.union(known).distinct())
+            links = verify(near.together(probes)).select("a", "b")
 
-        ends = cut(near.ends(links).join(firsts, "node"))
-        x, y = (ends.select(F.col("node").alias(v), F.struct(~F.col("accepted"), "first", "node").alias(f"o{v}")) for v in "ab")
+        ends = cut(near.ends(links).join(nodes.select("node", "first"), "node"))
+        x, y = (ends.select(F.col("node").alias(v), F.struct("first", "node").alias(f"o{v}")) for v in "ab")
         ordered = cut(links.join(x, "a").join(y, "b").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
         verdicts = _decide(ends, ordered)
-
-        accepted = ends.join(verdicts.where("verdict = 'in'"), "node").select(F.col("node").alias("early"), F.struct(~F.col("accepted"), "first").alias("fe"))
-        twins = ordered.join(accepted, "early").join(verdicts.where("verdict = 'out'").select(F.col("node").alias("late")), "late").groupBy("late").agg(F.min("fe.first").alias("twin"))
-        near_copies = members.join(twins, members["node"] == twins["late"]).select(row_id, F.col("twin.id").alias("twin"))
-        again = firsts.join(twins, firsts["node"] == twins["late"], "left_anti")
-        exact = members.join(again.select("node", "first"), "node").where(F.col(row_id) != F.col("first.id")).select(row_id, F.col("first.id").alias("twin"))
-        found = near_copies.union(exact).distinct()
+        accepted = ends.join(verdicts.where("verdict = 'in'"), "node").select(F.col("node").alias("early"), F.col("first").alias("by"))
+        twins = ordered.join(accepted, "early").join(verdicts.where("verdict = 'out'").select(F.col("node").alias("late")), "late").groupBy(F.col("late").alias("node")).agg(F.min("by").alias("twin"))
+        twins = cut(twins if refused is None else twins.union(refused))
+
+        near_copies = rows.select(row_id, "node").join(twins, "node").select(row_id, F.col("twin.id").alias("twin"))
+        again = nodes.select("node", "first").join(twins, "node", "left_anti")
+        exact = rows.select(row_id, "node").join(again, "node").where(F.col(row_id) != F.col("first.id")).select(row_id, F.col("first.id").alias("twin"))
+        found = cut(near_copies.union(exact).distinct())
         if append:
-            found = cut(found)
-            new = cut(first.join(twins, first["node"] == twins["late"], "left_anti").select("node", "first"))
-            if old_first is not None:
-                new = cut(new.join(old_first, "node", "left_anti"))
-            self._append(batch, row_id, text, rows, members, new)
+            self._append(batch, row_id, text, own, nodes, twins, found)
+        for df in (own, rows):
+            df.unpersist()
         return found
 
-    def _append(self, batch: DataFrame, row_id: str, text: str, rows: DataFrame, members: DataFrame, new: DataFrame) -> None:
+    def _append(self, batch: DataFrame, row_id: str, text: str, own: DataFrame, nodes: DataFrame, twins: DataFrame, found: DataFrame) -> None:
+        """Adds the documents of the batch that aren't in ``found``; the batch's keys stay in the buckets they lie in."""
+        part = f"batch={self.batches}"
         if not self.batches:
-            self.spark.createDataFrame([(self.least, self.k, self.counts.tobytes())], "least double, k int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
-        rows.select("node", F.explode("keys").alias("key")).join(new.select("node"), "node", "left_semi").distinct().write.mode("overwrite").parquet(f"{self.path}/segments/batch={self.batches}")
-        rows.where("mark is not null").join(new.select("node"), "node", "left_semi").groupBy("node").agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{self.path}/profiles/batch={self.batches}")
-        near.sets_of(batch, row_id, text, members.select(row_id, "node"), new.select("node"), k=self.k).write.mode("overwrite").parquet(f"{self.path}/sets/batch={self.batches}")
-        new.select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id")).write.mode("overwrite").parquet(f"{self.path}/arrivals/batch={self.batches}")
-        files, mark = self._mark(self.batches)
+            settings = [(self.least, self.k, self.buckets, self.counts.tobytes())]
+            self.spark.createDataFrame(settings, "least double, k int, buckets int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
+        gone = near.small(cut(twins.select("node")))
+        name = f"part_{uuid.uuid4().hex}"
+        own.join(gone, "node", "left_anti").select("key", "node").write.bucketBy(self.buckets, "key").option("path", f"{self.path}/segments/{part}").mode("overwrite").saveAsTable(name)
+        self.spark.sql(f"drop table {name}")
+        new = nodes.join(gone, "node", "left_anti").select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id"), "mark")
+        new.write.mode("overwrite").parquet(f"{self.path}/arrivals/{part}")
+        texts = batch.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null and doc_id is not null")
+        texts = texts.join(near.small(cut(found.select(F.col(row_id).alias("doc_id")).distinct())), "doc_id", "left_anti")
+        texts.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/{part}")
+        files, mark = self._file(f"batches/{self.batches}")
         files.create(mark).close()
         self.batches += 1
 
 
-def rejected(documents: DataFrame, *, least: float = 0.8, k: int = 3) -> DataFrame:
-    """(doc_id, twin) of every document rejected when all arrive in order: one batch against an empty history."""
-    return History(documents.sparkSession, least=least, k=k).check(documents, append=False)
+def rejected(documents: DataFrame, *, parts: int = 4, least: float = 0.8, k: int = 3, at: str = "ingested_at", path: str | None = None) -> DataFrame:
+    """(doc_id, twin) of every document rejected when all arrive in order, in ``parts`` batches of about one size by ``at``.
 
-
-def rejected_in_batches(documents: DataFrame, *, parts: int = 4, least: float = 0.8, k: int = 3, at: str = "ingested_at") -> DataFrame:
-    """As ``rejected``, with the documents arriving in ``parts`` batches of about one size by ``at``, each checked by an index opened again."""
+    Each batch is checked against the index of all accepted before it, opened again for the
+    batch, and its accepted documents are appended. The index goes to ``path`` and stays; without
+    a path it is deleted at the end.
+    """
     spark = documents.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    folder = path or f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
     when = F.unix_micros(F.col(at).cast("timestamp"))
-    edges = documents.select(when.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    edges = documents.select(when.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     edges = sorted({int(e) for e in edges})
     number = sum((F.coalesce(when > e, F.lit(True)).cast("int") for e in edges), F.lit(0))
-    found = [History(spark, path, least=least, k=k).check(documents.where(number == i), at=at, append=i < len(edges)) for i in range(len(edges) + 1)]
+    found = [History(spark, folder, least=least, k=k).check(documents.where(number == i), at=at) for i in range(len(edges) + 1)]
+    if path is None:
+        History(spark, folder, least=least, k=k).remove()
     return reduce(DataFrame.union, found)

@@ -15,14 +15,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import wordhash as wh
 from tessera.session import cut
 
-#: Ids that are broadcast to pick texts out of a scan: at most so many (8 bytes each); beyond it, a shuffle join.
+#: Ids that are broadcast to pick rows out of a scan: at most so many (8 or 16 bytes each); beyond it, a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: Partitions of the shuffle of keys, as a multiple of the session's number.
+WIDER = 1
 #: Nodes that one task remembers so as to make the keys of copies once only; then it starts afresh.
 SEEN = 500_000
 #: A batch of texts is hashed in slices of about so many characters.
@@ -67,10 +69,10 @@ def node_ids(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ids.astype(np.int64)
 
 
-def keyed(df: DataFrame, row_id: str, text: str, *, k: int, least_words: int, maker: KeyMaker) -> DataFrame:
-    """(row_id, node, keys, mark) of the rows whose text has at least ``least_words`` words and a shingle of k words.
+def keyed(df: DataFrame, row_id: str, text: str, *, k: int, least_words: int, maker: KeyMaker, at: Column | None = None) -> DataFrame:
+    """(row_id, node, keys, mark, at) of the rows whose text has at least ``least_words`` words and a shingle of k words.
 
-    ``keys`` is empty and ``mark``, the fingerprint, null where the same task has made them
+    ``at``, a number of the row, is handed on, if given; else it is null. ``keys`` is empty and ``mark``, the fingerprint, null where the same task has made them
     for the node before. Null and blank texts give no row.
     """
 
@@ -102,22 +104,26 @@ def keyed(df: DataFrame, row_id: str, text: str, *, k: int, least_words: int, ma
                     for j, i in enumerate(fresh if marks is not None else ()):
                         prints[i] = marks[j].tobytes()
                 cuts = np.concatenate(([0], np.cumsum(ends[use]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + use]), pa.array(nodes[use]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys)), pa.array([prints[i] for i in use], pa.binary())], names=[row_id, "node", "keys", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + use]), pa.array(nodes[use]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys)), pa.array([prints[i] for i in use], pa.binary()), batch.column(2).take(pa.array(at + use))], names=[row_id, "node", "keys", "mark", "at"])
 
-    picked = df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull() & F.col(row_id).isNotNull())
-    return picked.mapInArrow(run, f"`{row_id}` long, node long, keys array<long>, mark binary")
+    picked = df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text), (F.lit(None) if at is None else at).cast("long").alias("at")).where(F.col(text).isNotNull() & F.col(row_id).isNotNull())
+    return picked.mapInArrow(run, f"`{row_id}` long, node long, keys array<long>, mark binary, at long")
 
 
-def runs(keys: DataFrame) -> DataFrame:
+def runs(rows: DataFrame) -> DataFrame:
     """(key, node) of the keys that two nodes or more have; the rest never leaves the partition it was sorted in.
 
-    One shuffle by key. Nodes repeated within a key were made by different tasks and count once.
+    One shuffle by key, over WIDER times the session's partitions, as a row has tens of keys.
+    Nodes repeated within a key were made by different tasks and count once.
     """
-    from pyspark.sql import Window
+    parts = WIDER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met(rows.select("node", F.explode("keys").alias("key")).repartition(parts, "key"))
 
-    once = keys.select("node", F.explode("keys").alias("key")).repartition("key")
+
+def met(keys: DataFrame) -> DataFrame:
+    """(key, node) of the keys that two nodes or more have; ``keys`` is laid out by key already."""
     w = Window.partitionBy("key")
-    return once.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo < hi").select("key", "node")
+    return keys.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo < hi").select("key", "node")
 
 
 def together(found: DataFrame) -> DataFrame:
@@ -140,16 +146,13 @@ def promising(pairs: DataFrame, rows: DataFrame, may: Callable[[np.ndarray, np.n
     return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long")
 
 
-def sets_of(df: DataFrame, row_id: str, text: str, members: DataFrame, nodes: DataFrame, *, k: int) -> DataFrame:
-    """(node, shingles) of ``nodes``, from the text of one member of each; other texts are filtered out before they are hashed.
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, one or two columns of 8 bytes and already cut, marked for broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
-    ``shingles`` is the sorted set as little-endian 64-bit values. members: (row_id, node).
-    """
-    first = members.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(row_id).alias(row_id))
-    first = cut(first)
-    n = first.count()
-    chosen = F.broadcast(first) if n <= BROADCAST_IDS else first
-    picked = df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull()).join(chosen, row_id)
+
+def hashed(texts: DataFrame, text: str, k: int) -> DataFrame:
+    """(node, shingles) of the rows (node, text), each node once; ``shingles`` is the sorted set as little-endian 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +162,17 @@ def sets_of(df: DataFrame, row_id: str, text: str, members: DataFrame, nodes: Da
                 raw = flat.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_[at : at + len(part)]), pa.array([raw[8 * offsets[i] : 8 * offsets[i + 1]] for i in range(len(part))], pa.binary())], names=["node", "shingles"])
 
-    out = picked.mapInArrow(run, "node long, shingles binary")
-    return out.dropDuplicates(["node"])
+    return texts.select("node", text).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def sets_of(df: DataFrame, row_id: str, text: str, members: DataFrame, nodes: DataFrame, *, k: int) -> DataFrame:
+    """(node, shingles) of ``nodes``, from the text of one member of each; other texts are filtered out before they are hashed.
+
+    members: (row_id, node).
+    """
+    first = cut(members.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(row_id).alias(row_id)))
+    picked = df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull()).join(small(first), row_id)
+    return hashed(picked, text, k)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -41,11 +41,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("doc_id", "twin").alias("doc_lo"), F.greatest("doc_id", "twin").alias("doc_hi"))
 
 
-def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = history.rejected_in_batches(table(spark, sf_dir, "documents"), least=0.8)
-    return found.select(F.least("doc_id", "twin").alias("doc_lo"), F.greatest("doc_id", "twin").alias("doc_hi"))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.similar_pairs(table(spark, sf_dir, "passages"), least=0.7, least_words=30)
     return pairs.toDF("passage_lo", "passage_hi")

@@ -64,8 +64,9 @@ def wanted_rejections():
     return want
 
 
-def test_history_in_one_batch_equals_sequential_rule(spark):
-    assert {tuple(r) for r in history.rejected(frame(spark, "documents")).collect()} == wanted_rejections()
+@pytest.mark.parametrize("parts", [1, 3])
+def test_history_equals_sequential_rule(spark, parts):
+    assert {tuple(r) for r in history.rejected(frame(spark, "documents"), parts=parts).collect()} == wanted_rejections()
 
 
 def test_history_in_batches_equals_one_batch(spark):
@@ -272,12 +273,14 @@ def test_history_in_batches_by_time_equals_sequential_rule(spark):
     from tessera.llm import queries
 
     want = {(min(p), max(p)) for p in wanted_rejections()}
-    assert {tuple(r) for r in queries.p4_batches(spark, SF).collect()} == want and want
+    assert {tuple(r) for r in queries.p4_found(spark, SF).collect()} == want and want
 
 
-def test_verdicts_of_a_long_chain(spark):
+@pytest.mark.parametrize("alone", [1_000_000, 1_080])
+def test_verdicts_of_a_long_chain(spark, monkeypatch, alone):
+    monkeypatch.setattr(history, "ALONE", alone)  # with 1,080, some rounds of joins come first
     n = 1100
-    nodes = spark.createDataFrame([(i, i == 0) for i in range(n)], "node long, accepted boolean")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
     links = [(i, i + 1) for i in range(n - 1)] + [(i, i + 7) for i in range(0, n - 7, 50)]
     before = {}
     for a, b in links:
@@ -287,3 +290,35 @@ def test_verdicts_of_a_long_chain(spark):
         want[i] = "out" if any(want[e] == "in" for e in before.get(i, ())) else "in"
     got = history._decide(nodes, spark.createDataFrame(links, "early long, late long")).collect()
     assert len(got) == n and {r.node: r.verdict for r in got} == want
+
+
+def test_history_is_read_where_it_lies(spark, tmp_path):
+    docs = frame(spark, "documents")
+    index = history.History(spark, str(tmp_path / "index"))
+    index.check(docs.where("doc_id < 60"))
+    index = history.History(spark, str(tmp_path / "index"))
+    name, segments = index._segments()
+    try:
+        many = spark.range(5000).selectExpr("id as key", "id as node").repartition(index.buckets, "key").cache()
+        plan = index.meeting(many, segments)._jdf.queryExecution().optimizedPlan().toString()
+        joined = segments.join(many.withColumnRenamed("node", "a").hint("shuffle_hash"), "key")._jdf.queryExecution().executedPlan().toString()
+        scan = joined[joined.index("Scan parquet") :]
+        assert "Join" in plan and "Exchange hashpartitioning(key" not in joined.split("InMemoryRelation")[0] and "Bucketed: true" in scan
+        few = spark.createDataFrame([(segments.first().key, -1)], "key long, node long").repartition(index.buckets, "key").cache()
+        pruned = index.meeting(few, segments)
+        assert pruned.count() >= 1
+        assert f"SelectedBucketsCount: 1 out of {index.buckets}" in pruned._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+def test_history_part_that_broke_off_is_written_anew(spark, tmp_path):
+    docs = frame(spark, "documents")
+    order, got = [i for i, *_ in arrivals()], set()
+    path = str(tmp_path / "index")
+    for n, part in enumerate((order[:50], order[50:])):
+        batch = docs.where(docs.doc_id.isin(part))
+        history.History(spark, path).check(batch)
+        (tmp_path / "index" / "batches" / str(n)).unlink()  # as if it had ended before its mark
+        got |= {tuple(r) for r in history.History(spark, path).check(batch).collect()}
+    assert got == wanted_rejections()
