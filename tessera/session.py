@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -71,6 +72,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles, broadcasts and checkpoints of frames that are no longer used; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str | None:
     """Writes ``content`` to the shared folder; its plain path, or None where that folder is no file system path."""
     root = shared_dir(spark)
