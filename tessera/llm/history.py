@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near
 from tessera.llm import wordhash as wh
-from tessera.session import cut, shared_dir
+from tessera.session import cut, release, shared_dir
 
 #: Texts read to learn which shingles are common, at most; and the cells of the frequency table.
 SAMPLE, CELLS = 8_000, 1 << 22
@@ -143,22 +143,21 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _decide(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, verdict) of ``nodes`` in arrival order: 'in' unless an earlier 'in' is linked.
+    """(node, verdict) of ``nodes`` (node, accepted) in arrival order: 'in' if accepted before or unless an earlier 'in' is linked.
 
     links: (early, late), early arrives first. As soon as the links to open nodes are no more
     than ALONE, one task settles them. Before, each round of joins settles every node whose
     earlier neighbours are settled, and every neighbour of a node accepted; the earliest open
     node is always settled, so it ends.
     """
-    state = cut(nodes.select("node", F.lit(None).cast("string").alias("verdict")).distinct())
+    state = nodes.select("node", F.when(F.col("accepted"), "in").alias("verdict"))
     while True:
         known = state.select(F.col("node").alias("early"), F.col("verdict").alias("ev"))
         rest = links.join(state.where("verdict is null").select(F.col("node").alias("late")), "late").join(known, "early").select("early", "late", "ev")
-        if rest.limit(ALONE + 1).count() <= ALONE:
+        if links.limit(ALONE + 1).count() <= ALONE or rest.limit(ALONE + 1).count() <= ALONE:
             last = rest.repartition(1).mapInPandas(_settle, "node long, verdict string").withColumnRenamed("verdict", "last")
             return cut(state.join(last, "node", "left").select("node", F.coalesce("verdict", "last", F.lit("in")).alias("verdict")))
-        early = links.join(known, "early")
-        seen = early.groupBy("late").agg(F.max(F.col("ev") == "in").alias("hit"), F.sum(F.col("ev").isNull().cast("int")).alias("open"))
+        seen = links.join(known, "early").groupBy("late").agg(F.max(F.col("ev") == "in").alias("hit"), F.sum(F.col("ev").isNull().cast("int")).alias("open"))
         state = cut(
             state.join(seen, state["node"] == seen["late"], "left").select(
                 "node",
@@ -206,7 +205,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
         order = firsts.select("node", F.struct("first", "node").alias("o"))
         directed = edges.join(order.select(F.col("node").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("node").alias("b"), F.col("o").alias("ob")), "b")
         directed = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
-        settled = _decide(seen, directed)
+        settled = _decide(seen.select("node", F.lit(False).alias("accepted")), directed)
         accepted = leaders.join(settled.where("verdict = 'in'"), "node", "left_semi")
         star = alive.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi")
         alike = verify(cut(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select("a", "b")
@@ -270,11 +269,11 @@ class History:
 
     def meeting(self, own: DataFrame, segments: DataFrame) -> DataFrame:
         """(a, b): nodes of ``own`` (key, node), laid out in the index's buckets, and stored nodes that share a key."""
-        few = [r.key for r in own.select("key").limit(PROBED + 1).collect()]
-        if len(few) <= PROBED:
-            segments = segments.where(F.col("key").isin(few))
+        n = own.count()
+        if n <= PROBED:
+            segments = segments.where(F.col("key").isin([r.key for r in own.select("key").collect()]))
         mine = own.select("key", F.col("node").alias("a"))
-        if own.count() <= HELD * self.buckets:
+        if n <= HELD * self.buckets:
             mine = mine.hint("shuffle_hash")
         return segments.select("key", F.col("node").alias("b")).join(mine, "key").select("a", "b").distinct()
 
@@ -294,71 +293,74 @@ class History:
         rows = near.kept(near.keyed(batch, row_id, text, k=self.k, least_words=1, at=when, maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
         nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col(row_id).alias("id"))).alias("first"), F.max("mark").alias("mark")))
         own = near.kept(rows.select(F.explode("keys").alias("key"), "node").repartition(self.buckets, "key"))
-        ids = nodes.select(F.col("first.id").alias(row_id), "node")
-
-        def verify(pairs: DataFrame, marks: DataFrame = nodes, stored: DataFrame | None = None) -> DataFrame:
-            """The pairs that are alike, by profile and then exactly; ``stored``: (node, doc_id) of accepted ones."""
-            close = cut(near.promising(pairs, marks, lambda x, y: in_reach(x, y, least)))
-            wanted = near.small(cut(near.ends(close)))
-            texts = batch.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias("text")).where("text is not null")
-            picked = texts.join(near.small(cut(ids.join(wanted, "node"))), row_id).select("node", "text")
-            if stored is not None:
-                picked = picked.union(self._read("texts").join(near.small(cut(stored.join(wanted, "node"))), "doc_id").select("node", "text"))
-            return cut(near.alike(close, near.hashed(picked, "text", self.k), least))
-
-        refused = None  # (node, twin): what history rejects
+        firsts = nodes.select("node", "first", "mark", F.lit(False).alias("accepted"))
+        met = None
         if self.batches:
             name, segments = self._segments()
-            old = self._read("arrivals")
-            pairs = cut(self.meeting(own, segments))
+            met = cut(self.meeting(own, segments))
             self.spark.sql(f"drop table {name}")
-            candidates = cut(old.join(near.small(cut(pairs.select(F.col("b").alias("node")).distinct())), "node").select("node", "mark", "doc_id", "at"))
-            alike = verify(pairs.where("a <> b"), nodes.select("node", "mark").union(candidates.select("node", "mark")), candidates.select("node", "doc_id")).select("a", "b")
-            alike = alike.union(pairs.where("a = b"))  # an accepted text that arrives again
-            refused = alike.join(candidates.select(F.col("node").alias("b"), F.struct("at", F.col("doc_id").alias("id")).alias("by")), "b").groupBy(F.col("a").alias("node")).agg(F.min("by").alias("twin"))
-            refused = cut(refused)
-        gone = None if refused is None else near.small(cut(refused.select("node")))
-        probes = cut(near.met(own if gone is None else own.join(gone, "node", "left_anti")))
+            asked = cut(met.select(F.col("b").alias("node")).distinct())
+            old = self._read("arrivals").join(near.small(asked), "node").select("node", F.struct("at", F.col("doc_id").alias("id")).alias("first"), "mark", F.lit(True).alias("accepted"))
+            # an accepted text that arrives again is the accepted one
+            firsts = cut(firsts.union(old).groupBy("node").agg(F.max("accepted").alias("accepted"), F.max_by("first", "accepted").alias("first"), F.max("mark").alias("mark")))
+            met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            """The pairs that are alike, by profile and then exactly."""
+            close = cut(near.promising(pairs, firsts, lambda x, y: in_reach(x, y, least)))
+            wanted = cut(near.ends(close).join(firsts, "node").select("node", F.col("first.id").alias(row_id), "accepted"))
+            wanted = near.small(wanted)
+            texts = batch.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias("text")).where("text is not null").join(wanted.where("not accepted"), row_id).select("node", "text")
+            if self.batches:
+                texts = texts.union(self._read("texts").withColumnRenamed("doc_id", row_id).join(wanted.where("accepted"), row_id).select("node", "text"))
+            return cut(near.alike(close, near.hashed(texts, "text", self.k), least))
+
+        probes = cut(near.met(own))
         hottest = probes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         if hottest > self.hot:
-            none = self.spark.createDataFrame([], "node long")
-            links = verify(_pairs(probes, nodes, _peel(probes, nodes, none, verify, hot=self.hot))).select("a", "b")
+            out, known = self.spark.createDataFrame([], "node long"), None
+            if met is not None:  # what history rejects can't reject anything
+                known = verify(met).select("a", "b")
+                out = cut(near.ends(known).join(firsts.where("not accepted"), "node", "left_semi"))
+            links = verify(_pairs(probes, firsts, _peel(probes, firsts, out, verify, hot=self.hot))).select("a", "b")
+            links = links if known is None else cut(links.union(known).distinct())
         else:
-            links = verify(near.together(probes)).select("a", "b")
+            pairs = near.together(probes)
+            links = verify(pairs if met is None else pairs.union(met).distinct()).select("a", "b")
 
-        ends = cut(near.ends(links).join(nodes.select("node", "first"), "node"))
-        x, y = (ends.select(F.col("node").alias(v), F.struct("first", "node").alias(f"o{v}")) for v in "ab")
+        order = firsts.select("node", F.struct(~F.col("accepted"), "first", "node").alias("o"), "accepted")
+        x, y = (order.select(F.col("node").alias(v), F.col("o").alias(f"o{v}")) for v in "ab")
         ordered = cut(links.join(x, "a").join(y, "b").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
-        verdicts = _decide(ends, ordered)
-        accepted = ends.join(verdicts.where("verdict = 'in'"), "node").select(F.col("node").alias("early"), F.col("first").alias("by"))
-        twins = ordered.join(accepted, "early").join(verdicts.where("verdict = 'out'").select(F.col("node").alias("late")), "late").groupBy(F.col("late").alias("node")).agg(F.min("by").alias("twin"))
-        twins = cut(twins if refused is None else twins.union(refused))
+        verdicts = _decide(near.ends(links).join(firsts.select("node", "accepted"), "node"), ordered)
+        accepted = order.join(verdicts.where("verdict = 'in'"), "node").select(F.col("node").alias("early"), F.struct(~F.col("accepted"), "o.first").alias("by"))
+        twins = ordered.join(accepted, "early").join(verdicts.where("verdict = 'out'").select(F.col("node").alias("late")), "late").groupBy(F.col("late").alias("node")).agg(F.min("by").alias("by"))
+        twins = cut(twins.select("node", F.col("by.first").alias("twin")))
 
         near_copies = rows.select(row_id, "node").join(twins, "node").select(row_id, F.col("twin.id").alias("twin"))
-        again = nodes.select("node", "first").join(twins, "node", "left_anti")
+        again = firsts.select("node", "first").join(twins, "node", "left_anti")
         exact = rows.select(row_id, "node").join(again, "node").where(F.col(row_id) != F.col("first.id")).select(row_id, F.col("first.id").alias("twin"))
         found = cut(near_copies.union(exact).distinct())
         if append:
-            self._append(batch, row_id, text, own, nodes, twins, found)
+            self._append(batch, row_id, text, own, firsts, twins, found)
         for df in (own, rows):
             df.unpersist()
         return found
 
-    def _append(self, batch: DataFrame, row_id: str, text: str, own: DataFrame, nodes: DataFrame, twins: DataFrame, found: DataFrame) -> None:
+    def _append(self, batch: DataFrame, row_id: str, text: str, own: DataFrame, firsts: DataFrame, twins: DataFrame, found: DataFrame) -> None:
         """Adds the documents of the batch that aren't in ``found``; the batch's keys stay in the buckets they lie in."""
         part = f"batch={self.batches}"
         if not self.batches:
             settings = [(self.least, self.k, self.buckets, self.counts.tobytes())]
             self.spark.createDataFrame(settings, "least double, k int, buckets int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
-        gone = near.small(cut(twins.select("node")))
+        gone = near.small(cut(twins.select("node").union(firsts.where("accepted").select("node"))))
         name = f"part_{uuid.uuid4().hex}"
         own.join(gone, "node", "left_anti").select("key", "node").write.bucketBy(self.buckets, "key").option("path", f"{self.path}/segments/{part}").mode("overwrite").saveAsTable(name)
         self.spark.sql(f"drop table {name}")
-        new = nodes.join(gone, "node", "left_anti").select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id"), "mark")
+        new = firsts.join(gone, "node", "left_anti").select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id"), "mark")
         new.write.mode("overwrite").parquet(f"{self.path}/arrivals/{part}")
         texts = batch.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null and doc_id is not null")
         texts = texts.join(near.small(cut(found.select(F.col(row_id).alias("doc_id")).distinct())), "doc_id", "left_anti")
-        texts.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/{part}")
+        texts.write.mode("overwrite").parquet(f"{self.path}/texts/{part}")
         files, mark = self._file(f"batches/{self.batches}")
         files.create(mark).close()
         self.batches += 1
@@ -377,7 +379,10 @@ def rejected(documents: DataFrame, *, parts: int = 4, least: float = 0.8, k: int
     edges = documents.select(when.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     edges = sorted({int(e) for e in edges})
     number = sum((F.coalesce(when > e, F.lit(True)).cast("int") for e in edges), F.lit(0))
-    found = [History(spark, folder, least=least, k=k).check(documents.where(number == i), at=at) for i in range(len(edges) + 1)]
+    found = []
+    for i in range(len(edges) + 1):
+        found.append(History(spark, folder, least=least, k=k).check(documents.where(number == i), at=at))
+        release(spark)
     if path is None:
         History(spark, folder, least=least, k=k).remove()
     return reduce(DataFrame.union, found)

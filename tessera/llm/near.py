@@ -22,7 +22,7 @@ from tessera.llm import wordhash as wh
 from tessera.session import cut
 
 #: Ids that are broadcast to pick rows out of a scan: at most so many (8 or 16 bytes each); beyond it, a shuffle join.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 300_000
 #: Partitions of the shuffle of keys, as a multiple of the session's number.
 WIDER = 1
 #: Nodes that one task remembers so as to make the keys of copies once only; then it starts afresh.
@@ -128,8 +128,7 @@ def met(keys: DataFrame) -> DataFrame:
 
 def together(found: DataFrame) -> DataFrame:
     """(a, b), a < b: nodes that share a key, each pair once. A hot key is split by adaptive skew handling of the join."""
-    x, y = found.distinct(), found.distinct()
-    return x.select("key", F.col("node").alias("a")).join(y.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    return found.select("key", F.col("node").alias("a")).join(found.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
 def promising(pairs: DataFrame, rows: DataFrame, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
