@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 # Conversions, one unit of the first being scale units of the second, plus offset.
 EDGES: tuple[tuple[str, str, float, float], ...] = (
     ("kUSD", "USD", 1e3, 0), ("MUSD", "kUSD", 1e3, 0), ("BUSD", "MUSD", 1e3, 0),
@@ -261,7 +263,7 @@ def same_amounts(mentions: DataFrame, metrics: DataFrame, *, within: float = 0.0
     of = mentions.select(F.col("mention_id").cast("long").alias("mention_id"), *[F.col(k).cast("string").alias(k) for k in keys if k != "metric_id"]).dropDuplicates(["mention_id"])
     band = F.when(F.col("amount") == 0, F.lit(None).cast("long")).otherwise(F.floor(F.log(F.abs("amount")) / F.log(F.lit(1 / (1 - within)))))
     rows = amounts(mentions, metrics).join(of, "mention_id").where("amount is not null and accession is not null and metric_id is not null and period_key is not null")
-    rows = rows.select("mention_id", *keys, "recorded", "amount", F.signum("amount").cast("int").alias("sign"), F.coalesce(band, F.lit(-(1 << 40))).alias("band"))
+    rows = cut(rows.select("mention_id", *keys, "recorded", "amount", F.signum("amount").cast("int").alias("sign"), F.coalesce(band, F.lit(-(1 << 40))).alias("band")))
     x = rows.select(*keys, "sign", "band", F.col("mention_id").alias("x"), F.col("recorded").alias("rx"), F.col("amount").alias("ax"))
     y = rows.select(*keys, "sign", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("mention_id").alias("y"), F.col("recorded").alias("ry"), F.col("amount").alias("ay"))
     differ = lambda a, b: F.abs(F.col(a) - F.col(b)) > within * F.greatest(F.abs(F.col(a)), F.abs(F.col(b))) * (1 + 1e-9)
