@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import near
-from tessera.session import shared_file
+from tessera.session import cut, shared_file
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words of the lexicon; words a task remembers, at most, and their longest length in characters.
 LEXICON, REMEMBERED, LONGEST = 50_000, 400_000, 64
+#: Grades of frequency to each doubling.
+STEPS = 16
 #: The tokenizer's pattern of pieces; L, N and S stand for letters, numbers and white space (fixed value).
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -209,7 +211,11 @@ class Ids(dict):
 
 
 def frequent_words(documents: DataFrame, text: str, patterns: tuple[str, str], most: int) -> list[str]:
-    """The ``most`` most frequent pieces of all texts, counted by task, then by piece."""
+    """The most frequent pieces of all texts, at most ``most``, counted by task, then by piece.
+
+    Frequencies are graded, STEPS to each doubling, and whole grades are taken, so that no
+    more than ``most`` pieces and a count for each grade ever come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = Pieces(patterns), Counter()
@@ -227,8 +233,13 @@ def frequent_words(documents: DataFrame, text: str, patterns: tuple[str, str], m
         yield out()
 
     counted = documents.select(F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull()).mapInArrow(run, "piece string, n long")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(most)
-    return [r.piece for r in top.collect()]
+    counted = cut(counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * STEPS)))
+    least, room = None, most
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        if (room := room - r["count"]) < 0:
+            break
+        least = r.step
+    return [] if least is None else sorted(r.piece for r in counted.where(F.col("step") >= least).select("piece").collect())
 
 
 def encode(documents: DataFrame, *, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon: int = LEXICON) -> DataFrame:
