@@ -45,8 +45,10 @@ def _ends_sentence(text: str, m: re.Match) -> bool:
         # a unit of a figure that closes the text, such as "12 min.", still ends it
         return not rest
     if len(word) == 1 and word.isalpha() and word.isupper():
-        lead = text[: before.start()].rstrip()[-1:]
-        return bool(lead.isdigit() or lead in "°") or not rest  # an initial, unless it is the unit of a figure
+        i = before.start()
+        while i and text[i - 1].isspace():
+            i -= 1
+        return not i or text[i - 1].isdigit() or text[i - 1] == "°" or not rest  # an initial, unless it is the unit of a figure
     return True
 
 
@@ -76,25 +78,22 @@ def _size(text: str, a: int, b: int) -> int:
     return len(text[a:b].rstrip())
 
 
-def atoms(text: str, limit: int) -> tuple[list[tuple[int, int]], str | None]:
-    """(spans of at most ``limit`` characters, the finest level that had to be used or None)."""
-    deepest = -1
+def atoms(text: str, limit: int) -> list[tuple[int, int, str | None]]:
+    """(start, end, level of the cut before it) of consecutive parts of at most ``limit`` characters; the first has no cut before it."""
 
-    def down(a: int, b: int, depth: int) -> list[tuple[int, int]]:
-        nonlocal deepest
+    def down(a: int, b: int, depth: int, before: str | None) -> list[tuple[int, int, str | None]]:
         if _size(text, a, b) <= limit:
-            return [(a, b)]
-        parts = _split(text, a, b, LEVELS[depth]) if depth < len(LEVELS) - 1 else [(x, min(b, x + limit)) for x in range(a, b, limit)]
-        if len(parts) > 1:
-            deepest = max(deepest, depth)
-        return [s for x, y in parts for s in ([(x, y)] if depth == len(LEVELS) - 1 else down(x, y, depth + 1))]
+            return [(a, b, before)]
+        last = depth == len(LEVELS) - 1
+        parts = [(x, min(b, x + limit)) for x in range(a, b, limit)] if last else _split(text, a, b, LEVELS[depth])
+        levels = [before] + [LEVELS[depth]] * (len(parts) - 1)
+        return [s for (x, y), level in zip(parts, levels) for s in ([(x, y, level)] if last else down(x, y, depth + 1, level))]
 
-    spans = down(0, len(text), 0)
-    return spans, LEVELS[deepest] if deepest >= 0 else None
+    return down(0, len(text), 0, None)
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, where its own part begins) of each piece of ``text``.
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str | None]]:
+    """(start, end, where its own part begins, level of the cut there) of each piece of ``text``.
 
     The parts from ``own`` to ``end`` follow each other and cover the text; start..own repeats
     whole trailing words of the piece before, as many as fit into ``overlap`` and the limit
@@ -102,16 +101,17 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     """
     if overlap >= limit:
         raise ValueError("overlap must be under the limit")
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, str | None]] = []
     start = own = end = 0
-    for a, b in atoms(text, limit)[0]:
+    level = None
+    for a, b, before in atoms(text, limit):
         if b > own and _size(text, start, b) <= limit:
             end = b
             continue
         if end > own:
-            out.append((start, end, own))
+            out.append((start, end, own, level))
         room = min(overlap, limit - _size(text, a, b)) if out else 0
-        own, end = a, b
+        own, end, level = a, b, before
         start = a
         if room > 0:
             low = max(a - room, out[-1][0] + 1)
@@ -120,13 +120,13 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
                 words = words[1:]
             start = words[0] if words else low if not re.search(r"\s", text[low:a]) else a
     if end > own:
-        out.append((start, end, own))
+        out.append((start, end, own, level))
     return out
 
 
-def cut_kind(text: str, limit: int = LIMIT) -> str:
-    """'inside' if a sentence that no line break divides is over the limit, so that it had to be cut, else 'boundary'."""
-    return "inside" if atoms(text, limit)[1] in ("word", "character") else "boundary"
+def cut_kind(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> str:
+    """'inside' if a piece had to begin inside a sentence that no line break divides, as one over the limit forces it to, else 'boundary'."""
+    return "inside" if any(level in ("word", "character") for *_, level in pieces(text, limit, overlap)) else "boundary"
 
 
 def _oversized(passages: DataFrame, limit: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _oversized(passages: DataFrame, limit: int) -> DataFrame:
 
 
 def cut_kinds(passages: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """(passage_id, cut_kind) of each passage over ``limit`` characters, from the levels its cuts needed.
+    """(passage_id, cut_kind) of each passage over ``limit`` characters, from where its pieces begin.
 
     Null, empty and short texts give no row; repeated rows count once; an empty table gives an
     empty result; other columns are ignored.
@@ -148,29 +148,39 @@ def cut_kinds(passages: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     return rows.dropDuplicates(["passage_id"]).mapInPandas(run, "passage_id long, cut_kind string")
 
 
-def place(text: str, raw: str | None, base: int, a: int, b: int) -> tuple[int, int]:
-    """Offsets in the page of text[a:b], where ``raw`` is the page from offset ``base``.
+def places(text: str, raw: str | None) -> list[int] | None:
+    """For each character of ``text`` its place in ``raw``, the stretch of the page it was taken from; -1 for blanks.
 
-    The text's characters are found one after the other in ``raw``, blanks matching any run of
-    blanks. Without ``raw``, or where it differs, text offsets are added to ``base``.
+    One walk over both: the text's characters follow each other in ``raw``, blanks matching any
+    run of blanks. None without ``raw`` or where it differs.
     """
     if raw is None:
-        return base + a, base + b
-    i, start, end = 0, None, None
-    for j, c in enumerate(text[:b]):
+        return None
+    out, i = [], 0
+    for c in text:
         if c.isspace():
+            out.append(-1)
             continue
         while i < len(raw) and raw[i] != c:
             if not raw[i].isspace():
-                return base + a, base + b
+                return None
             i += 1
         if i == len(raw):
-            return base + a, base + b
-        if j >= a and start is None:
-            start = i
+            return None
+        out.append(i)
         i += 1
-        end = i
-    return (base + a, base + b) if start is None or end is None else (base + start, base + end)
+    return out
+
+
+def place(at: list[int] | None, base: int, a: int, b: int) -> tuple[int, int]:
+    """Offsets in the page of characters a..b of a text whose ``places`` count from ``base``; text offsets added to it where they aren't known."""
+    if at is None:
+        return base + a, base + b
+    while a < b and at[a] < 0:
+        a += 1
+    while b > a and at[b - 1] < 0:
+        b -= 1
+    return (base + at[a], base + at[b - 1] + 1) if a < b else (base + a, base + b)
 
 
 def cut_pieces(passages: DataFrame, documents: DataFrame | None = None, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -197,10 +207,11 @@ def cut_pieces(passages: DataFrame, documents: DataFrame | None = None, *, limit
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                for i, (a, b, own) in enumerate(pieces(r.text, limit, overlap), 1):
+                known = not pd.isna(r.char_start)
+                at = places(r.text, r.raw) if known and isinstance(r.raw, str) else None
+                for i, (a, b, own, _) in enumerate(pieces(r.text, limit, overlap), 1):
                     said = r.text[a:b].rstrip()
-                    known = not pd.isna(r.char_start)
-                    s, e = place(r.text, r.raw if isinstance(r.raw, str) else None, int(r.char_start), a, a + len(said)) if known else (None, None)
+                    s, e = place(at, int(r.char_start), a, a + len(said)) if known else (None, None)
                     out.append((r.passage_id, None if pd.isna(r.document_id) else int(r.document_id), i, None if pd.isna(r.page) else int(r.page), s, e, own - a, r.speaker, said))
             yield pd.DataFrame(out, columns=names).astype({"document_id": "Int64", "page": "Int32", "char_start": "Int32", "char_end": "Int32"})
 

@@ -186,8 +186,8 @@ def test_cuts_cover_the_text_within_the_limit(spark):
             continue
         for limit, overlap in ((1600, 200), (120, 30), (40, 0)):
             ps = cuts.pieces(t, limit, overlap)
-            assert "".join(t[own:end] for _, end, own in ps) == t
-            assert all(len(t[a:b].rstrip()) <= limit and 0 <= own - a <= overlap for a, b, own in ps)
+            assert "".join(t[own:end] for _, end, own, _ in ps) == t
+            assert all(len(t[a:b].rstrip()) <= limit and 0 <= own - a <= overlap for a, b, own, _ in ps)
     docs = dict(read("documents", "doc_id, text"))
     for r in cuts.cut_pieces(frame(spark, "passages"), frame(spark, "documents"), limit=300, overlap=40).collect():
         page = docs[r.document_id].split("\f")[r.page - 1]
@@ -202,6 +202,11 @@ def test_cut_kinds():
     assert cuts.cut_kind("line of words\n" * 200) == "boundary"
     assert cuts.cut_kind(("word " * 100 + "approx. " + "No. 5 i.e. x ") * 4) == "inside"
     assert cuts.cut_kind("x" * 1601) == "inside"
+    assert cuts.cut_kind("A. " * 30_000) == "inside"  # initials, none of which ends a sentence
+    assert cuts.cut_kind("5 A. " * 30_000) == "boundary"
+    text, raw = "ab  c\nd", "ab c \n d"
+    assert cuts.places(text, raw) == [0, 1, -1, -1, 3, -1, 7] and cuts.places(text, "abx") is None
+    assert cuts.place(cuts.places(text, raw), 10, 2, 7) == (13, 18) and cuts.place(None, 10, 2, 7) == (12, 17)
 
 
 def test_turns_of_a_hand_made_call(spark):
