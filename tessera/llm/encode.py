@@ -269,11 +269,4 @@ def encode(documents: DataFrame, *, row_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([docs.slice(at, len(some)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[row_id, "ids"])
 
     rows = documents.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias(text)).where(F.col(row_id).isNotNull())
-    return once(rows, row_id).mapInArrow(run, f"`{row_id}` long, ids array<int>")
-
-
-def once(rows: DataFrame, row_id: str) -> DataFrame:
-    """Each id once; texts are shuffled only if an id does occur twice."""
-    if rows.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        return rows.dropDuplicates([row_id])
-    return rows
+    return near.once(rows, row_id).mapInArrow(run, f"`{row_id}` long, ids array<int>")
