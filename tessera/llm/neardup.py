@@ -15,7 +15,7 @@ With the default 8 segments of 5 symbols, a pair of likeness 0.7 is met with a c
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import near
@@ -23,8 +23,6 @@ from tessera.llm import wordhash as wh
 from tessera.session import cut
 
 SEGMENTS, SYMBOLS = 8, 5
-#: Members of a group of exact copies that are paired with each other and with those of alike groups; the others are paired with the group's first member.
-SPREAD = 32
 
 
 def ball_keys(flat: np.ndarray, offsets: np.ndarray, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,37 +63,33 @@ def _found(df: DataFrame, row_id: str, text: str, *, least: float, least_words:
     return members, cut(near.alike(pairs, sets, least))
 
 
-def similar_pairs(df: DataFrame, row_id: str = "passage_id", text: str = "text", *, least: float = 0.7, least_words: int = 30, k: int = 3, spread: int = SPREAD) -> DataFrame:
-    """(lo, hi) of rows whose texts have a likeness of at least ``least``, lo < hi, each once.
+def similar_pairs(df: DataFrame, row_id: str = "passage_id", text: str = "text", *, least: float = 0.7, least_words: int = 30, k: int = 3) -> DataFrame:
+    """(lo, hi) of all rows whose texts have a likeness of at least ``least``, lo < hi, each once, copies included.
 
-    Of a group of exact copies (same text), the first ``spread`` members by id are paired with
-    one another and with those of every alike group. Any further member is paired with the
-    first member of its own group and of every alike one: no link between different texts
-    is lost, and the result stays linear in the size of a group of copies. Texts that differ in
-    case, punctuation or blanks are different ones, though they share a shingle set.
+    That is as many rows as there are such pairs, so a group of n copies has n (n - 1) / 2 of them; similar_groups and
+    similar_classes tell the same in a row for each text and for each link of different texts. Pairs within a class of copies and across
+    linked classes are made by joins on the class alone, which adaptive execution splits where one is large.
     Null and blank texts, and texts under ``least_words`` words, have no pairs; an empty
     table gives an empty result; repeated rows count once; other columns are ignored.
     """
     members, links = _found(df, row_id, text, least=least, least_words=least_words, k=k)
-    involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    by = Window.partitionBy("node").orderBy(row_id)
-    sized = near.kept(members.withColumn("rank", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("node"))))
-    large = sized.where(f"n > {spread}").drop("rank")
-    exact = df.select(F.col(row_id).cast("long").alias(row_id), F.sha2(F.col(text).cast("string"), 256).alias("same_text")).join(large, row_id, "left_semi").groupBy(row_id).agg(F.min("same_text").alias("same_text"))
-    within = Window.partitionBy("node", "same_text").orderBy(row_id)
-    apart = large.join(exact, row_id).withColumn("rank", F.row_number().over(within)).select(row_id, "node", "rank", "n")
-    ranked = near.kept(sized.where(f"n <= {spread}").select(row_id, "node", "rank", "n").union(apart))
-    copies = ranked.where("n > 1").select("node", row_id, "rank")
-    x, y = (copies.select("node", F.col(row_id).alias(v), F.col("rank").alias(f"r{v}")) for v in "xy")
-    same = x.where(f"rx <= {spread}").join(y, "node").where(f"x <> y and (ry <= {spread} or rx = 1)").select("x", "y")
-    linked = ranked.join(involved, "node", "left_semi")
-    p = linked.select(F.col("node").alias("a"), F.col(row_id).alias("x"), F.col("rank").alias("rx"))
-    q = linked.select(F.col("node").alias("b"), F.col(row_id).alias("y"), F.col("rank").alias("ry"))
-    near_x = links.select("a", "b").join(p.where(f"rx <= {spread}"), "a").join(q.where(f"ry <= {spread}"), "b").select("x", "y")
-    far_x = links.select("a", "b").join(p.where(f"rx > {spread}"), "a").join(q.where("ry = 1"), "b").select("x", "y")
-    far_y = links.select("a", "b").join(p.where("rx = 1"), "a").join(q.where(f"ry > {spread}"), "b").select("x", "y")
-    all_ = near.union_all([same, near_x, far_x, far_y])
-    return all_.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+    members = near.kept(members)
+    x, y = (members.select("node", F.col(row_id).alias(v)) for v in "xy")
+    copies = x.join(y, "node").where("x < y").select("x", "y")
+    p, q = x.withColumnRenamed("node", "a"), y.withColumnRenamed("node", "b")
+    across = links.select("a", "b").join(p, "a").join(q, "b").select("x", "y")
+    return copies.union(across.select(F.least("x", "y"), F.greatest("x", "y"))).where("x < y").toDF("lo", "hi").distinct()
+
+
+def similar_classes(df: DataFrame, row_id: str = "passage_id", text: str = "text", *, least: float = 0.7, least_words: int = 30, k: int = 3) -> DataFrame:
+    """(lo, hi, likeness): the links between classes of rows with one shingle set, each named by its smallest id, lo < hi.
+
+    Linear in groups of copies; similar_groups has the members of each class. Edge cases as in similar_pairs.
+    """
+    members, links = _found(df, row_id, text, least=least, least_words=least_words, k=k)
+    named = near.kept(members.groupBy("node").agg(F.min(row_id).alias("id")))
+    both = links.join(named.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "likeness")
 
 
 def similar_groups(df: DataFrame, row_id: str = "passage_id", text: str = "text", *, least: float = 0.7, least_words: int = 30, k: int = 3) -> DataFrame:

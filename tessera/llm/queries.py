@@ -50,6 +50,10 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "passages"), least=0.7, least_words=30)
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_classes(table(spark, sf_dir, "passages"), least=0.7, least_words=30).select("lo", "hi")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,21 @@ def oracle_sql() -> dict[str, str]:
  n as (select *, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') k from l), t as (select source, count(distinct doc_id) total from documents group by 1),
  f as (select n.source, k from n join t on t.source is not distinct from n.source where k <> '' group by 1, 2 having count(distinct document_id) >= 3 and count(distinct document_id) >= 0.05 * any_value(total))
  select distinct passage_id, line_no::int as line_no from n join f on f.k = n.k and f.source is not distinct from n.source""",
+        "p4_found": f"""with recursive t as (select doc_id id, min(ingested_at) at, any_value({_WORDS}) w from documents where doc_id is not null and text is not null group by 1), s as (select id, unnest(list_distinct([hash(w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)])) h from t),
+ n as (select id, count(*) n from s group by 1), o as (select n.id, n, row_number() over (order by at nulls last, n.id) k from n join t using (id)),
+ l as (select a.id e, b.id l, a.k ek, b.k lk from (select x.id x, y.id y, count(*) c from s x join s y on x.h = y.h and x.id <> y.id group by 1, 2) m join o a on a.id = m.x join o b on b.id = m.y where a.k < b.k and c >= 0.8 * (a.n + b.n - c)),
+ q as (select l, row_number() over (order by lk) i, es from (select l, lk, list(e) es from l group by 1, 2)),
+ r(i, outs) as (select 0::bigint, []::bigint[] union all select q.i, case when len([x for x in q.es if not list_contains(r.outs, x)]) > 0 then list_append(r.outs, q.l) else r.outs end from r join q on q.i = r.i + 1),
+ f as (select outs from r order by i desc limit 1), v as (select l.l, arg_min(e, ek) twin from l, f where list_contains(outs, l.l) and not list_contains(outs, e) group by 1)
+ select least(l, twin) as doc_lo, greatest(l, twin) as doc_hi from v""",
         "p6_found": f"{_SETS} select x as passage_lo, y as passage_hi from m join n a on a.id = x join n b on b.id = y where k >= 0.7 * (a.n + b.n - k)",
+        "p6_classes": f"""{_SETS}, c as (select id, any_value(n) n, sum(h::hugeint)::varchar || '/' || any_value(n) || '/' || bit_xor(h)::varchar c from (select s.*, n.n from s join n using (id)) group by 1), r as (select c, min(id) r from c group by 1), e as (select id, r from c join r using (c))
+ select distinct least(ex.r, ey.r) as lo, greatest(ex.r, ey.r) as hi from m join n a on a.id = x join n b on b.id = y join e ex on ex.id = x join e ey on ey.id = y where k >= 0.7 * (a.n + b.n - k) and ex.r <> ey.r""",
+        "p6_groups": f"""{_SETS}, c as (select id, any_value(n) n, sum(h::hugeint)::varchar || '/' || any_value(n) || '/' || bit_xor(h)::varchar c from (select s.*, n.n from s join n using (id)) group by 1), r as (select c, min(id) r from c group by 1), e as (select id, r from c join r using (c)),
+ l as (select distinct least(ex.r, ey.r) a, greatest(ex.r, ey.r) b from m join n p on p.id = x join n q on q.id = y join e ex on ex.id = x join e ey on ey.id = y where k >= 0.7 * (p.n + q.n - k) and ex.r <> ey.r),
+ w as (select a x, b y from l union select b, a from l), d as (select x, count(*) n from w group by 1),
+ z as (with recursive g(x, y) as (select r, r from r union select g.x, w.y from g join w on w.x = g.y) select x, min(y) root from g group by 1)
+ select e.id as passage_id, e.r as class_id, z.root as group_id, coalesce(d.n, 0) as n_links from e join z on z.x = e.r left join d on d.x = e.r""",
         "p8_found": f"""with i as (select item_id, {_WORDS} w from eval_items where text is not null), g as (select distinct item_id, array_to_string(w[k:k + 12], ' ') h from i, lateral (select unnest(range(1, len(w) - 11)) k)),
  d as (select doc_id, {_WORDS} w from documents where text is not null), e as (select distinct doc_id, array_to_string(w[k:k + 12], ' ') h from d, lateral (select unnest(range(1, len(w) - 11)) k))
  select distinct doc_id, item_id from e join g using (h)""",

@@ -48,9 +48,8 @@ def test_near_duplicates(spark, odd_passages):
 
 def test_a_hot_group_of_copies_stays_linear(spark):
     many = passages(spark, [(i, i, 0, 1, 0, 1, None, BODY) for i in range(200)] + [(1000, 1, 0, 1, 0, 1, None, BODY + "and one more")])
-    got = set(rows(neardup.similar_pairs(many, spread=8)))
-    assert len(got) == 8 * 7 // 2 + 192 + 8 + 192
-    assert {(0, i) for i in range(1, 200)} <= got and {(i, 1000) for i in range(200)} <= got
+    assert [(r.lo, r.hi) for r in neardup.similar_classes(many).collect()] == [(0, 1000)]
+    assert {(r.class_id, r.group_id, r.n_links) for r in neardup.similar_groups(many).collect()} == {(0, 0, 1), (1000, 0, 1)}
 
 
 def test_history(spark, odd_docs):
@@ -124,8 +123,16 @@ def test_a_passage_revised_step_by_step_is_one_group(spark):
     assert len(got) == 400 and {r.group_id for r in got} == {0} and {r.n_links for r in got} == {1, 2}
 
 
-def test_variants_with_one_shingle_set_are_not_copies(spark):
+def test_variants_with_one_shingle_set_are_one_class(spark):
     variants = [BODY + "." * i for i in range(12)]
     some = passages(spark, [(i, i, 0, 1, 0, 1, None, t) for i, t in enumerate(variants)] + [(1000, 1, 0, 1, 0, 1, None, BODY + "and one more")])
     want = {(i, j) for i in range(12) for j in range(i + 1, 12)} | {(i, 1000) for i in range(12)}
-    assert set(rows(neardup.similar_pairs(some, spread=8))) == want
+    assert set(rows(neardup.similar_pairs(some))) == want
+    assert [(r.lo, r.hi) for r in neardup.similar_classes(some).collect()] == [(0, 1000)]
+
+
+def test_all_pairs_of_a_large_group_of_copies(spark):
+    some = passages(spark, [(i, i, 0, 1, 0, 1, None, BODY) for i in range(40)])
+    assert len(rows(neardup.similar_pairs(some))) == 780
+    assert rows(neardup.similar_classes(some)) == []
+    assert {(r.class_id, r.group_id, r.n_links) for r in neardup.similar_groups(some).collect()} == {(0, 0, 0)}
