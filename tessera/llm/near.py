@@ -24,7 +24,7 @@ from tessera.session import cut
 #: Ids that are broadcast to pick rows out of a scan: at most so many (8 or 16 bytes each); beyond it, a shuffle join.
 BROADCAST_IDS = 300_000
 #: Partitions of the shuffle of keys, as a multiple of the session's number.
-WIDER = 1
+WIDER = 4
 #: Nodes that one task remembers so as to make the keys of copies once only; then it starts afresh.
 SEEN = 500_000
 #: A batch of texts is hashed in slices of about so many characters.
