@@ -90,8 +90,8 @@ def oracle_sql() -> dict[str, str]:
  n as (select *, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') k from l), t as (select source, count(distinct doc_id) total from documents group by 1),
  f as (select n.source, k from n join t on t.source is not distinct from n.source where k <> '' group by 1, 2 having count(distinct document_id) >= 3 and count(distinct document_id) >= 0.05 * any_value(total))
  select distinct passage_id, line_no::int as line_no from n join f on f.k = n.k and f.source is not distinct from n.source""",
-        "p4_found": f"""with recursive t as (select doc_id id, min(ingested_at) at, any_value({_WORDS}) w from documents where doc_id is not null and text is not null group by 1), s as (select id, unnest(list_distinct([hash(w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)])) h from t),
- n as (select id, count(*) n from s group by 1), o as (select n.id, n, row_number() over (order by at nulls last, n.id) k from n join t using (id)),
+        "p4_found": f"""with recursive t as (select doc_id id, min(ingested_at) came, any_value({_WORDS}) w from documents where doc_id is not null and text is not null group by 1), s as (select id, unnest(list_distinct([hash(w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)])) h from t),
+ n as (select id, count(*) n from s group by 1), o as (select n.id, n, row_number() over (order by came nulls last, n.id) k from n join t using (id)),
  l as (select a.id e, b.id l, a.k ek, b.k lk from (select x.id x, y.id y, count(*) c from s x join s y on x.h = y.h and x.id <> y.id group by 1, 2) m join o a on a.id = m.x join o b on b.id = m.y where a.k < b.k and c >= 0.8 * (a.n + b.n - c)),
  q as (select l, row_number() over (order by lk) i, es from (select l, lk, list(e) es from l group by 1, 2)),
  r(i, outs) as (select 0::bigint, []::bigint[] union all select q.i, case when len([x for x in q.es if not list_contains(r.outs, x)]) > 0 then list_append(r.outs, q.l) else r.outs end from r join q on q.i = r.i + 1),
