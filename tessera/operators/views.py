@@ -75,14 +75,23 @@ def exhibit_names(headers: Column | str) -> Column:
     return F.transform(F.filter(named, lambda d: F.upper(d["type"]).startswith("EX-99") & F.lower(d["name"]).rlike(r"\.html?$")), lambda d: d["name"])
 
 
+# The units, without blanks, that a kind of mention can be given in; any other unit counts things.
+UNITS_OF_KIND = {
+    "bps": ("bps", "bp", "basispoints", "pp", "pts", "points", "percentagepoints"),
+    "percent": ("%", "percent", "pct", "pp", "pts", "points", "percentagepoints"),
+    "currency": ("usd", "dollars"),
+    "days": ("days", "day"),
+    "multiple": ("x", "times", "multiple"),
+}
+
+
 def admissible_kinds(unit: Column) -> Column:
-    """The kinds of mention that a metric of this unit can take."""
+    """The kinds of mention that a metric of this unit can take; a count without one."""
     u = F.lower(F.regexp_replace(unit, r"\s+", ""))
-    kinds = lambda *k: F.array(*[F.lit(x) for x in k])
-    return (
-        F.when(u.isin("%", "percent", "pct"), kinds("percent")).when(u.isin("bps", "bp", "basispoints"), kinds("bps")).when(u.isin("pp", "pts", "points", "percentagepoints"), kinds("bps", "percent"))
-        .when(u.startswith("$") | u.isin("usd", "dollars"), kinds("currency")).when(u.isin("day", "days"), kinds("days")).when(u.isin("x", "times", "multiple"), kinds("multiple")).otherwise(kinds("count"))
-    )
+    fit = {kind: u.isin(*units) for kind, units in UNITS_OF_KIND.items()}
+    fit["currency"] = fit["currency"] | u.startswith("$")
+    kinds = F.array_compact(F.array(*[F.when(is_so, F.lit(kind)) for kind, is_so in fit.items()]))
+    return F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("count")))
 
 
 def shown_value(value: Column, high: Column, unit: Column) -> Column:
