@@ -218,7 +218,7 @@ class History:
     """The accepted documents so far: a segment index in a folder that all executors share.
 
     ``segments`` has (key, node), in buckets by key; ``arrivals`` (node, at, doc_id, mark) of the
-    earliest copy of each accepted text; ``texts`` (doc_id, text) of accepted documents. A batch is laid out by
+    earliest copy of each accepted text; ``texts`` (doc_id, text, at) of all documents that came. A batch is laid out by
     key once and meets the stored buckets where they lie: history is neither hashed, nor
     sorted, nor shuffled again. A batch of few keys reads only the buckets, and of
     them the parts, that can have its keys. Of arrivals and texts only those of candidates leave the scan.
@@ -290,8 +290,12 @@ class History:
             self.counts = common_shingles(batch, text, self.k)
         counts, least = self.spark.sparkContext.broadcast(self.counts), self.least
         when = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(LAST))
-        rows = near.kept(near.keyed(batch, row_id, text, k=self.k, least_words=1, at=when, maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
-        nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col(row_id).alias("id"))).alias("first"), F.max("mark").alias("mark")))
+        texts = batch.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), when.alias("at")).where("doc_id is not null and text is not null")
+        if append:  # the batch's texts are copied once, and read from there
+            texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={self.batches}")
+            texts = self.spark.read.parquet(f"{self.path}/texts/batch={self.batches}")
+        rows = near.kept(near.keyed(texts, "doc_id", "text", k=self.k, least_words=1, at=F.col("at"), maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
+        nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col("doc_id").alias("id"))).alias("first"), F.max("mark").alias("mark")))
         own = near.kept(rows.select(F.explode("keys").alias("key"), "node").repartition(self.buckets, "key"))
         firsts = nodes.select("node", "first", "mark", F.lit(False).alias("accepted"))
         met = None
@@ -308,12 +312,11 @@ class History:
         def verify(pairs: DataFrame) -> DataFrame:
             """The pairs that are alike, by profile and then exactly."""
             close = cut(near.promising(pairs, firsts, lambda x, y: in_reach(x, y, least)))
-            wanted = cut(near.ends(close).join(firsts, "node").select("node", F.col("first.id").alias(row_id), "accepted"))
-            wanted = near.small(wanted)
-            texts = batch.select(F.col(row_id).cast("long").alias(row_id), F.col(text).cast("string").alias("text")).where("text is not null").join(wanted.where("not accepted"), row_id).select("node", "text")
+            wanted = near.small(cut(near.ends(close).join(firsts, "node").select("node", F.col("first.id").alias("doc_id"), "accepted")))
+            picked = texts.join(wanted.where("not accepted"), "doc_id").select("node", "text")
             if self.batches:
-                texts = texts.union(self._read("texts").withColumnRenamed("doc_id", row_id).join(wanted.where("accepted"), row_id).select("node", "text"))
-            return cut(near.alike(close, near.hashed(texts, "text", self.k), least))
+                picked = picked.union(self._read("texts").join(wanted.where("accepted"), "doc_id").select("node", "text"))
+            return cut(near.alike(close, near.hashed(picked, "text", self.k), least))
 
         probes = cut(near.met(own))
         hottest = probes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
@@ -336,18 +339,18 @@ class History:
         twins = ordered.join(accepted, "early").join(verdicts.where("verdict = 'out'").select(F.col("node").alias("late")), "late").groupBy(F.col("late").alias("node")).agg(F.min("by").alias("by"))
         twins = cut(twins.select("node", F.col("by.first").alias("twin")))
 
-        near_copies = rows.select(row_id, "node").join(twins, "node").select(row_id, F.col("twin.id").alias("twin"))
+        near_copies = rows.select("doc_id", "node").join(twins, "node").select("doc_id", F.col("twin.id").alias("twin"))
         again = firsts.select("node", "first").join(twins, "node", "left_anti")
-        exact = rows.select(row_id, "node").join(again, "node").where(F.col(row_id) != F.col("first.id")).select(row_id, F.col("first.id").alias("twin"))
-        found = cut(near_copies.union(exact).distinct())
+        exact = rows.select("doc_id", "node").join(again, "node").where(F.col("doc_id") != F.col("first.id")).select("doc_id", F.col("first.id").alias("twin"))
+        found = cut(near_copies.union(exact).distinct()).withColumnRenamed("doc_id", row_id)
         if append:
-            self._append(batch, row_id, text, own, firsts, twins, found)
+            self._append(own, firsts, twins)
         for df in (own, rows):
             df.unpersist()
         return found
 
-    def _append(self, batch: DataFrame, row_id: str, text: str, own: DataFrame, firsts: DataFrame, twins: DataFrame, found: DataFrame) -> None:
-        """Adds the documents of the batch that aren't in ``found``; the batch's keys stay in the buckets they lie in."""
+    def _append(self, own: DataFrame, firsts: DataFrame, twins: DataFrame) -> None:
+        """Adds the accepted nodes of the batch; their keys stay in the buckets they lie in."""
         part = f"batch={self.batches}"
         if not self.batches:
             settings = [(self.least, self.k, self.buckets, self.counts.tobytes())]
@@ -358,9 +361,6 @@ class History:
         self.spark.sql(f"drop table {name}")
         new = firsts.join(gone, "node", "left_anti").select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id"), "mark")
         new.write.mode("overwrite").parquet(f"{self.path}/arrivals/{part}")
-        texts = batch.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null and doc_id is not null")
-        texts = texts.join(near.small(cut(found.select(F.col(row_id).alias("doc_id")).distinct())), "doc_id", "left_anti")
-        texts.write.mode("overwrite").parquet(f"{self.path}/texts/{part}")
         files, mark = self._file(f"batches/{self.batches}")
         files.create(mark).close()
         self.batches += 1
