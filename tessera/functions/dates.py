@@ -34,6 +34,23 @@ def normalized_date(text: Column | str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in forms])
 
 
+# How dates are written in running text.
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)"
+WRITTEN_DATE = rf"\b(?:\d{{4}}-\d{{2}}-\d{{2}}|{_MONTH}\.? \d{{1,2}}, \d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{4}})\b"
+
+
+def date_candidates(text: Column | str, limit: int = 20) -> Column:
+    """The dates a text names, as written, each once, in text order, the first ``limit``; what is no day of the calendar is left out. Null for a null text."""
+    written = F.array_distinct(F.regexp_extract_all(text, F.lit(WRITTEN_DATE), F.lit(0)))
+    return F.slice(F.filter(written, lambda c: normalized_date(c).isNotNull()), 1, limit)
+
+
+def is_iso_day(text: Column | str) -> Column:
+    """Whether a text is a day of the calendar as yyyy-mm-dd; false for null."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(col.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & col.try_cast("date").isNotNull(), F.lit(False))
+
+
 def week_labels(today: Column, weeks: int) -> Column:
     """The last ``weeks`` ISO weeks, ending with today's."""
     monday = F.trunc(today, "week")

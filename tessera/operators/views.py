@@ -128,3 +128,14 @@ def arrived_since(documents: DataFrame, views: DataFrame, *, at: str = "ingested
     """Documents that arrived after the last time the views were looked at; all of them if they never were."""
     last = views.agg(F.max("seen_at").alias("last"))
     return documents.join(F.broadcast(last), (F.col("last").isNull()) | (F.col(at) > F.col("last"))).drop("last")
+
+
+def looked_up(rows: DataFrame, ids: list[int], key: str) -> DataFrame:
+    """``rows`` of ``ids`` with ``place``, the order asked for; an id asked twice counts once, of an unknown one all other columns are null.
+
+    The ids are the caller's own list, so they are broadcast and the rows are not shuffled; repeated rows of an id count once.
+    """
+    asked = list(dict.fromkeys(ids))
+    wanted = rows.sparkSession.createDataFrame(list(enumerate(asked, 1)), f"place int, `{key}` long")
+    met = rows.join(F.broadcast(wanted.select(key)), key, "left_semi").dropDuplicates([key])
+    return wanted.join(met, key, "left")

@@ -209,6 +209,31 @@ def substring_search(spark, d):
     return found.select("passage_id", "doc_date")
 
 
+_SNIPPET = lambda text, needles: f"""(select case when m.pos > 81 then '… ' else '' end || substring({text}, greatest(m.pos - 80, 1), m.pos - greatest(m.pos - 80, 1)) || '[' || substring({text}, m.pos, m.size) || ']' || substring({text}, m.pos + m.size, 80) || case when m.pos + m.size + 80 <= length({text}) then ' …' else '' end
+ from (select list_sort(list_filter([{', '.join(f"{{'pos': strpos(lower({text}), '{n}'), 'size': {len(n)}}}" for n in needles)}], lambda s: s.pos > 0))[1] m))"""
+
+
+@query(f"""with h as (select p.passage_id, any_value(p.text) as body, any_value(d.doc_date) as day, any_value({_NORM('p.text')}) t from passages p join documents d on d.doc_id = p.document_id where d.status = 'sorted' and p.text is not null group by 1)
+ select passage_id, coalesce({_SNIPPET('body', ['offshore', 'working capital', 'headcount'])}, substring(body, 1, 160)) as snippet from h where contains(t, 'offshore') and (contains(t, 'working capital') or contains(t, 'headcount')) order by day desc nulls last, passage_id desc limit 50""")
+def found_without_index(spark, d):
+    return retrieval.find(linking.passage_rows(table(spark, d, "passages"), table(spark, d, "documents")).where("doc_status = 'sorted'"), PLAIN_SEARCH).select("passage_id", "snippet")
+
+
+@query(_SQL["bm25_search"].replace("select s.passage_id,", f"select s.passage_id, coalesce({_SNIPPET('p.body', ['turbine', 'reactor', 'substation', 'working capital'])}, substring(p.body, 1, 160)) as snippet,").replace("(select distinct passage_id, document_id from passages) p", "(select passage_id, any_value(document_id) as document_id, any_value(text) as body from passages group by 1) p"))
+def found_by_index(spark, d):
+    rows = linking.passage_rows(table(spark, d, "passages"), table(spark, d, "documents")).where("doc_status = 'sorted'").select("passage_id", "doc_ticker", "text")
+    return retrieval.find(rows, SEARCH, index=_index(spark, d)).select("passage_id", F.round("score", 6).alias("score"), "doc_ticker", "snippet")
+
+
+LOOKED_UP = [40, 7, 40, 1000003, 12, 999999999, 7]
+
+
+@query("select a.place, a.passage_id::bigint as passage_id, coalesce(p.document_id, -1) as document_id, p.passage_id is not null as known from (values (1, 40), (2, 7), (3, 1000003), (4, 12), (5, 999999999)) a(place, passage_id) left join (select distinct passage_id, document_id from passages) p on p.passage_id = a.passage_id")
+def looked_up_passages(spark, d):
+    rows = table(spark, d, "passages").select("passage_id", "document_id", F.lit(True).alias("known"))
+    return views.looked_up(rows, LOOKED_UP, "passage_id").select("place", "passage_id", F.coalesce("document_id", F.lit(-1)).alias("document_id"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query()
 def snippets(spark, d):
     found = table(spark, d, "passages").dropDuplicates(["passage_id"]).where(F.contains(F.lower("text"), F.lit("working capital")))
@@ -229,6 +254,18 @@ def related_passages(spark, d):
 # Dates and periods.
 
 
+_WRITTEN = dt.WRITTEN_DATE.replace("'", "''")
+
+
+@query(f"""with t as (select doc_id, any_value(text) as body from documents group by 1), c as (select doc_id, unnest(regexp_extract_all(body, '{_WRITTEN}')) as written, generate_subscripts(regexp_extract_all(body, '{_WRITTEN}'), 1) k from t),
+ n as (select doc_id, written, min(k) k, any_value(try_strptime(regexp_replace(replace(written, '.', ''), '\\bSept\\b', 'Sep'), ['%Y-%m-%d', '%B %d, %Y', '%b %d, %Y', '%d %B %Y', '%d %b %Y', '%m/%d/%Y']))::date as "day" from c group by 1, 2), r as (select *, row_number() over (partition by doc_id order by k) as place from n where "day" is not null)
+ select doc_id, place::int as place, written, "day" from r where place <= 20""")
+def date_candidates(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    each = rows.select("doc_id", F.posexplode(dt.date_candidates("text")).alias("k", "written"))
+    return each.select("doc_id", (F.col("k") + 1).alias("place"), "written", dt.normalized_date(F.col("written")).alias("day"))
+
+
 @query("select strftime(coalesce(doc_date, ingested_at::date), '%G-W%V') as week, count(*) as n from documents where coalesce(doc_date, ingested_at::date) is not null group by 1")
 def documents_by_week(spark, d):
     day = dt.day_of(F.col("doc_date"), F.col("ingested_at"))
@@ -571,15 +608,16 @@ def tone_by_week(spark, d):
     return pipeline.tone_by_week(table(spark, d, "events"))
 
 
-@query()
+@query(_SQL["tone_by_week"])
 def streamed_tone(spark, d):
+    """The stream's updates of each week, open ones too, merged by key; at the end of the input it equals the batch."""
     events = table(spark, d, "events")
     root = f"{shared_dir(spark)}/tone-{uuid.uuid4().hex}"
     source = spark.readStream.schema(events.schema).parquet(_as_folder(spark, events, root))
-    out = pipeline.tone_by_week(source)
-    run = out.writeStream.outputMode("append").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).format("parquet").start(f"{root}/out")
+    sink = pipeline.upsert_batches(spark, f"{root}/out", ["key", "week_start"], [])
+    run = pipeline.tone_by_week(source).writeStream.outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(sink).start()
     run.awaitTermination()
-    return spark.read.schema("key string, week_start date, net double, n long").parquet(f"{root}/out")
+    return pipeline.current(spark, f"{root}/out")
 
 
 def _as_folder(spark: SparkSession, df: DataFrame, root: str) -> str:

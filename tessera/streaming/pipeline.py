@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.state import latest
 from tessera.sources.extract import extracted
 
 
@@ -38,20 +39,35 @@ def tone_by_week(events: DataFrame, *, at: str = "ts", key: str = "event_type",
     return timed.groupBy(week.alias("w"), F.col(key).alias("key")).agg(F.round(F.sum(amount).cast("double") / F.count("*"), 3).alias("net"), F.count("*").alias("n")).select("key", F.to_date("w.start").alias("week_start"), "net", "n")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete states of a folder, oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def upsert_batches(spark: SparkSession, path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends each batch once; ``current`` reads the last row of each key.
+    """A foreachBatch sink that keeps the last row of each key, by ``order``, then by batch.
 
-    A batch is written to its own folder by number, so a batch that is run again replaces itself.
+    Each batch is merged into the state before it and written as a version of its own, so a
+    batch that is run again gives the same; of the older versions the one before is kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        older = [v for v in _versions(spark, path) if v < number]
+        rows = batch.withColumn("_batch", F.lit(number).cast("long"))
+        if older:
+            rows = batch.sparkSession.read.parquet(f"{path}/version={older[-1]}").unionByName(rows)
+        latest(rows, keys, [*order, F.col("_batch")]).write.mode("overwrite").parquet(f"{path}/version={number}")
+        for v in older[:-1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 
 
-def current(spark: SparkSession, path: str, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key over all batches; of equal ``order`` that of the later batch."""
-    from tessera.operators.state import latest
-
-    return latest(spark.read.parquet(path), keys, [*order, F.col("batch")])
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last row of each key, as ``upsert_batches`` left it; None before the first batch."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={versions[-1]}").drop("_batch") if versions else None

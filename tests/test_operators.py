@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import calibration as cal
-from tessera.operators import kpi, linking, retrieval, state, units
+from tessera.functions import dates
+from tessera.operators import kpi, linking, retrieval, state, units, views
 from tessera.operators import signals as sg
 from tessera.plans import slate
 from tessera.sources import extract
@@ -199,14 +200,44 @@ def test_folder_of_files(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    closed = {(r.key, r.week_start): r for r in slate.streamed_tone(spark, SF).collect()}
+    merged = {(r.key, r.week_start): r for r in slate.streamed_tone(spark, SF).collect()}
     whole = {(r.key, r.week_start): r for r in slate.tone_by_week(spark, SF).collect()}
-    assert closed and set(closed) < set(whole) and all(whole[k] == r for k, r in closed.items())
+    assert merged and merged == whole
     spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "id int, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in"))
     run = pipeline.first_arrivals(source).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(pipeline.upsert_batches(spark, str(tmp_path / "out"), ["id"], [])).start()
     run.awaitTermination()
-    assert sorted(r.id for r in pipeline.current(spark, str(tmp_path / "out"), ["id"], [F.col("id")]).collect()) == [1, 3]
+    assert sorted(r.id for r in pipeline.current(spark, str(tmp_path / "out")).collect()) == [1, 3]
+
+
+def test_upserts_keep_the_last_row_of_each_key(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert pipeline.current(spark, path) is None
+    write = pipeline.upsert_batches(spark, path, ["id"], [F.col("at")])
+    batches = [[(1, 5, "a"), (2, 1, "b")], [(1, 4, "late"), (2, 1, "tie goes to the later batch"), (3, 1, "new")], [(3, 2, "newer")]]
+    for n in (0, 1, 1, 2):  # one batch is run again
+        write(spark.createDataFrame(batches[n], "id long, at int, said string"), n)
+    assert {(r.id, r.said) for r in pipeline.current(spark, path).collect()} == {(1, "a"), (2, "tie goes to the later batch"), (3, "newer")}
+    assert len(list((tmp_path / "state").glob("version=*"))) == 2
+
+
+def test_searches_without_a_hit_or_an_index(spark):
+    rows = spark.createDataFrame([(1, "Alpha beta", None), (2, "beta  BETA gamma", "2024-01-01"), (3, None, "2025-01-01"), (3, None, "2025-01-01")], "passage_id long, text string, doc_date string")
+    assert retrieval.find(rows, '"" !!').columns == ["passage_id", "text", "doc_date", "score", "snippet"] and retrieval.find(rows, "!!").count() == 0
+    assert [(r.passage_id, r.snippet, r.score) for r in retrieval.find(rows, "beta").collect()] == [(2, "[beta]  BETA gamma", None), (1, "Alpha [beta]", None)]
+    index = retrieval.build_index(rows)
+    assert {(r.passage_id, r.snippet) for r in retrieval.find(rows.dropDuplicates(["passage_id"]), "gamma OR alpha", index=index).collect()} == {(1, "[Alpha] beta"), (2, "beta  BETA [gamma]")}
+    assert [tuple(r) for r in retrieval.related_by_words(rows, "The alpha and the beta").collect()] == [(1, 2), (2, 1)]
+    assert retrieval.related_by_words(rows, "the").count() == 0
+    got = views.looked_up(rows, [3, 9, 1, 3], "passage_id").orderBy("place").collect()
+    assert [(r.place, r.passage_id, r.text) for r in got] == [(1, 3, None), (2, 9, None), (3, 1, "Alpha beta")]
+
+
+def test_dates_in_text(spark):
+    text = "On Sept. 5, 2024 and 2024-02-30, then 3/4/2025, 7 March 2023, Sept. 5, 2024 and Feb 29, 2023."
+    row = spark.range(1).select(dates.date_candidates(F.lit(text)).alias("d"), dates.date_candidates(F.lit(None).cast("string")).alias("n"), *[dates.is_iso_day(F.lit(x)).alias(f"i{i}") for i, x in enumerate(("2024-02-29", "2023-02-29", "2024-2-9", "x"))]).first()
+    assert row.d == ["Sept. 5, 2024", "3/4/2025", "7 March 2023"] and row.n is None
+    assert [row.i0, row.i1, row.i2, row.i3] == [True, False, False, False]
 
 
 def test_entry_has_a_stable_schema(spark):
