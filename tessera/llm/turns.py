@@ -32,7 +32,7 @@ ASKING, ANSWERING = ("interviewer", "analyst"), ("expert",)
 
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _TIMES = re.compile(rf"[\[(<{{]\s*{_TIME}\s*[\])>}}]|{_TIME}(?:\s*-->\s*{_TIME})?|-->")
-_OPENING = re.compile(r"[ \t\xa0]*(?:>>+[ \t\xa0]*)?([^\n:]{1,90}(?:\d{1,2}:\d{2}[^\n:]{0,12})?)\s*:(?=\s|$)")
+_OPENING = re.compile(r"[ \t\xa0]*(?:>>+[ \t\xa0]*)?([^\n:]+(?:\d{1,2}:\d{2}[^\n:]{0,12})?)\s*:(?=\s|$)")
 _NUMBERED = re.compile(r"(?:speaker|participant)[ _#-]*0*(\d{1,4})")
 _WORD = re.compile(r"[^\W_]+")
 
