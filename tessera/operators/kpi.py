@@ -60,3 +60,41 @@ def revision(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     last = points.withColumn("mid", mid).withColumn("width", width).withColumn("was_mid", F.lag("mid").over(by)).withColumn("was_width", F.lag("width").over(by)).withColumn("back", F.row_number().over(back)).where("back = 1")
     change = F.when(F.col("was_mid").isNull(), "first").when(F.col("mid") > F.col("was_mid"), "raised").when(F.col("mid") < F.col("was_mid"), "lowered").when(F.col("width") < F.col("was_width"), "narrowed").when(F.col("width") > F.col("was_width"), "widened").otherwise("maintained")
     return last.select(*keys, change.alias("change"))
+
+
+#: Sources of reported figures, the most telling first; any other comes after them (fixed values).
+SOURCES = ("filing", "earnings_transcript")
+
+
+def report(points: DataFrame, keys: list[str], *, order: str = "mention_id") -> DataFrame:
+    """(keys, reported, n_guidance, n_estimates, vs_guidance, vs_estimates, guidance_change): each metric and period in one row.
+
+    points: keys, kind ('reported', 'guidance', 'estimate'), day, value, high, unit, source_type, p
+    and ``order``, which settles ties. The reported figure is that of the best source, then the
+    likeliest, then the newest. It is compared with the last guidance and the mean of the estimates
+    up to its day; a null day is before all others. A comparison without both sides is null, as is the
+    change of guidance given once. Figures are the middle of their range. Points without a
+    value count for nothing.
+    """
+    first = F.coalesce(F.col("day"), F.lit("0001-01-01").cast("date"))
+    rank = F.coalesce(*[F.when(F.col("source_type") == s, F.lit(-i)) for i, s in enumerate(SOURCES)], F.lit(-len(SOURCES)))
+    known = points.where("value is not null").withColumn("day", first).withColumn("mid", middle(F.col("value"), F.col("high")))
+    best = best_per_period(known.where("kind = 'reported'").select(*keys, "day", "mid", "p", "source_type", order), keys, [rank, F.coalesce("p", F.lit(0.0)), F.col("day"), F.col(order)])
+    met = known.join(best.select(*keys, F.col("day").alias("on"), F.col("mid").alias("reported")), keys, "left")
+    before = F.col("day") <= F.col("on")
+    guided, guessed, when = F.col("kind") == "guidance", F.col("kind") == "estimate", F.struct("day", order)
+    per = met.groupBy(*keys).agg(
+        F.first("reported").alias("reported"),
+        F.count_if(guided).alias("n_guidance"),
+        F.count_if(guessed).alias("n_estimates"),
+        F.max_by(F.struct("value", F.coalesce("high", "value").alias("high")), F.when(guided & before, when)).alias("g"),
+        F.avg(F.when(guessed & before, F.col("mid"))).alias("mean"),
+        F.first("unit").alias("unit"),
+    )
+    value, gap = F.col("reported"), F.col("reported") - F.col("mean")
+    in_line = F.abs(gap) <= tolerance(F.lower(F.trim("unit")), F.col("mean"))
+    per = per.withColumn("vs_guidance", F.when(value.isNotNull() & F.col("g").isNotNull(), compared(value, F.col("g.value"), F.col("g.high"))))
+    per = per.withColumn("vs_estimates", F.when(gap.isNull(), None).when(in_line, "in_line").when(gap > 0, "above").otherwise("below"))
+    change = revision(known.where("kind = 'guidance'").select(*keys, "day", order, "value", "high"), keys, ["day", order])
+    change = change.select(*keys, F.nullif("change", F.lit("first")).alias("guidance_change"))
+    return per.join(change, keys, "left").select(*keys, "reported", "n_guidance", "n_estimates", "vs_guidance", "vs_estimates", "guidance_change")

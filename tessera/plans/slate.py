@@ -251,6 +251,28 @@ def related_passages(spark, d):
     return retrieval.related(_index(spark, d), table(spark, d, "eval_items"), query_id="item_id", text="text")
 
 
+_KEYS = "ticker, metric_id, metric_unit, period_key"
+
+
+@query(f"""with m as (select distinct mention_id, document_id, ticker, metric_id, unit as metric_unit, period_key, value, high from mentions where value is not null and unit is not null and ticker is not null and metric_id is not null and period_key is not null and mention_id is not null),
+ p as (select m.*, coalesce(high, value) as top, (value + coalesce(high, value)) / 2 as mid, coalesce(d.doc_date, date '0001-01-01') as came, coalesce(d.source_type_p, 0) as pr, case when high is not null then 'guidance' when d.source_type = 'sell_side' then 'estimate' else 'reported' end as kind,
+ case d.source_type when 'filing' then 0 when 'earnings_transcript' then 1 else 2 end as rk from m join (select distinct doc_id, doc_date, source_type, source_type_p from documents) d on d.doc_id = m.document_id),
+ r as (select {_KEYS}, came as rday, mid as rmid from (select *, row_number() over (partition by {_KEYS} order by rk, pr desc, came desc, mention_id desc) k from p where kind = 'reported') where k = 1),
+ j as (select p.*, rday, rmid, strftime(came, '%Y%m%d') || lpad(mention_id::varchar, 15, '0') as seq from p left join r using ({_KEYS})),
+ a as (select {_KEYS}, any_value(rmid) as reported, count(*) filter (kind = 'guidance') as n_guidance, count(*) filter (kind = 'estimate') as n_estimates, arg_max(value, seq) filter (kind = 'guidance' and came <= rday) as low, arg_max(top, seq) filter (kind = 'guidance' and came <= rday) as high,
+ avg(mid) filter (kind = 'estimate' and came <= rday) as mean, list(mid order by seq) filter (kind = 'guidance') as mids, list(top - value order by seq) filter (kind = 'guidance') as widths from j group by {_KEYS})
+ select {_KEYS}, round(reported, 6) as reported, n_guidance, n_estimates, case when reported is null or low is null then null when reported > high then 'above' when reported < low then 'below' else 'within' end as vs_guidance,
+ case when reported - mean is null then null when abs(reported - mean) <= (case when lower(trim(metric_unit)) in ('%', 'percent', 'pct') then 0.1 else abs(mean) * 0.005 end) then 'in_line' when reported > mean then 'above' else 'below' end as vs_estimates,
+ case when len(mids) > 1 then case when mids[-1] > mids[-2] then 'raised' when mids[-1] < mids[-2] then 'lowered' when widths[-1] < widths[-2] then 'narrowed' when widths[-1] > widths[-2] then 'widened' else 'maintained' end end as guidance_change from a""")
+def metric_report(spark, d):
+    """Stand-ins: a range is guidance, a broker's figure an estimate, any other figure is reported; its probability is that of its document's type."""
+    m = table(spark, d, "mentions").select("mention_id", "document_id", "ticker", "metric_id", F.col("unit").alias("metric_unit"), "period_key", "value", "high").where("mention_id is not null and unit is not null and ticker is not null and metric_id is not null and period_key is not null").distinct()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_date").alias("day"), "source_type", F.col("source_type_p").alias("p")).distinct()
+    kind = F.when(F.col("high").isNotNull(), "guidance").when(F.col("source_type") == "sell_side", "estimate").otherwise("reported")
+    points = m.join(docs, "document_id").withColumn("kind", kind).withColumn("unit", F.col("metric_unit"))
+    return kpi.report(points, ["ticker", "metric_id", "metric_unit", "period_key"]).withColumn("reported", F.round("reported", 6))
+
+
 # Dates and periods.
 
 

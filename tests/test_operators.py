@@ -233,6 +233,20 @@ def test_searches_without_a_hit_or_an_index(spark):
     assert [(r.place, r.passage_id, r.text) for r in got] == [(1, 3, None), (2, 9, None), (3, 1, "Alpha beta")]
 
 
+def test_metric_report_of_a_hand_made_series(spark):
+    day = __import__("datetime").date
+    points = [
+        (1, "guidance", day(2026, 1, 1), 20.0, 21.0, "filing", 0.9), (2, "guidance", day(2026, 3, 1), 21.0, 22.0, "filing", 0.9), (3, "guidance", day(2026, 9, 1), 30.0, 31.0, "filing", 0.9),
+        (4, "reported", day(2026, 7, 1), 21.5, None, "news", 0.9), (5, "reported", day(2026, 6, 1), 22.4, None, "filing", 0.5), (6, "reported", None, None, None, "filing", 1.0),
+        (7, "estimate", day(2026, 2, 1), 22.2, None, "sell_side", 0.9), (8, "estimate", day(2026, 2, 2), 22.45, None, "sell_side", 0.9), (9, "estimate", day(2026, 8, 1), 90.0, None, "sell_side", 0.9),
+    ]
+    df = spark.createDataFrame(points, "mention_id long, kind string, day date, value double, high double, source_type string, p double").withColumns({"metric": F.lit("m"), "unit": F.lit("%")})
+    got = kpi.report(df, ["metric"]).collect()
+    assert [tuple(r) for r in got] == [("m", 22.4, 3, 3, "above", "in_line", "raised")]
+    assert kpi.report(df.limit(0), ["metric"]).count() == 0
+    assert [tuple(r)[1:] for r in kpi.report(df.where("mention_id in (4, 9)"), ["metric"]).collect()] == [(21.5, 0, 1, None, None, None)]
+
+
 def test_dates_in_text(spark):
     text = "On Sept. 5, 2024 and 2024-02-30, then 3/4/2025, 7 March 2023, Sept. 5, 2024 and Feb 29, 2023."
     row = spark.range(1).select(dates.date_candidates(F.lit(text)).alias("d"), dates.date_candidates(F.lit(None).cast("string")).alias("n"), *[dates.is_iso_day(F.lit(x)).alias(f"i{i}") for i, x in enumerate(("2024-02-29", "2023-02-29", "2024-2-9", "x"))]).first()
