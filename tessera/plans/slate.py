@@ -14,7 +14,7 @@ from tessera.functions import text as tx
 from tessera.operators import calibration as cal
 from tessera.operators import kpi, linking, retrieval, state, units, views
 from tessera.operators import signals as sg
-from tessera.session import shared_dir, spread, table
+from tessera.session import cut, shared_dir, spread, table
 from tessera.sources import extract
 from tessera.streaming import pipeline
 
@@ -225,6 +225,33 @@ def found_by_index(spark, d):
     return retrieval.find(rows, SEARCH, index=_index(spark, d)).select("passage_id", F.round("score", 6).alias("score"), "doc_ticker", "snippet")
 
 
+def _stored(spark, d, parts: int) -> retrieval.Postings:
+    """The passages' stored index, added in ``parts`` batches of whole documents."""
+    path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    passages = table(spark, d, "passages").select("passage_id", "document_id", "text").where("passage_id is not null")
+    for i in range(parts):
+        retrieval.Postings(spark, path).add(passages.where(F.pmod(F.xxhash64("passage_id"), F.lit(parts)) == i))
+    return retrieval.Postings(spark, path)
+
+
+def _found_in_store(spark, d, text):
+    index = _stored(spark, d, 2)
+    rows = linking.passage_rows(table(spark, d, "passages"), table(spark, d, "documents")).where("doc_status = 'sorted'").select("passage_id", "doc_ticker")
+    found = cut(index.search(rows, text).select("passage_id", F.round("score", 6).alias("score"), "doc_ticker"))
+    index.remove()
+    return found
+
+
+@query(_SQL["bm25_search"])
+def stored_search(spark, d):
+    return _found_in_store(spark, d, SEARCH)
+
+
+@query(_SQL["prefix_search"])
+def stored_prefix_search(spark, d):
+    return _found_in_store(spark, d, PREFIX)
+
+
 LOOKED_UP = [40, 7, 40, 1000003, 12, 999999999, 7]
 
 

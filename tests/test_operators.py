@@ -247,6 +247,29 @@ def test_metric_report_of_a_hand_made_series(spark):
     assert [tuple(r)[1:] for r in kpi.report(df.where("mention_id in (4, 9)"), ["metric"]).collect()] == [(21.5, 0, 1, None, None, None)]
 
 
+def test_stored_postings_rank_as_the_index_does(spark, tmp_path):
+    rows = frame_of_passages(spark)
+    index, path = retrieval.build_index(rows), str(tmp_path / "postings")
+    assert retrieval.Postings(spark, path).rank(retrieval.parse("a")).count() == 0
+    for part in ("passage_id < 50", "passage_id >= 50", "passage_id < 0"):
+        retrieval.Postings(spark, path).add(rows.where(part))
+    store = retrieval.Postings(spark, path)
+    assert store.batches == 3
+    for text in ('revenue OR margin "compared with"', "rev* growth", '"the rev*" OR unheard', "the", "!!"):
+        groups = retrieval.parse(text)
+        want = {r.passage_id: round(r.score, 6) for r in retrieval.rank(index, groups).collect()}
+        assert {r.passage_id: round(r.score, 6) for r in store.rank(groups).collect()} == want, text
+    plan = store.of(["revenue", "growth"])._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "part#" in filters.split("PushedFilters")[0] and "In(word" in filters
+    store.remove()
+    assert retrieval.Postings(spark, path).batches == 0
+
+
+def frame_of_passages(spark):
+    return spark.read.parquet(f"{SF}/passages.parquet").select("passage_id", "text").dropDuplicates(["passage_id"]).where("passage_id is not null")
+
+
 def test_dates_in_text(spark):
     text = "On Sept. 5, 2024 and 2024-02-30, then 3/4/2025, 7 March 2023, Sept. 5, 2024 and Feb 29, 2023."
     row = spark.range(1).select(dates.date_candidates(F.lit(text)).alias("d"), dates.date_candidates(F.lit(None).cast("string")).alias("n"), *[dates.is_iso_day(F.lit(x)).alias(f"i{i}") for i, x in enumerate(("2024-02-29", "2023-02-29", "2024-2-9", "x"))]).first()
