@@ -39,13 +39,15 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES) -> DataFrame:
     The join is by ticker and word, words of few passages first pruned to the query's own;
     statistics are those of all rows. Ties go to the smaller id.
     """
-    base = rows.where("doc_ticker is not null and text is not null and day is not null").select("passage_id", "doc_ticker", "day", "document_id", index_words("text").alias("words"), tx.query_terms("text").alias("asked"))
+    analysed = F.array_distinct(F.flatten(F.transform(tx.query_terms("text"), index_words)))
+    # analysed once: the words are read for the statistics, the weights and the questions
+    base = cut(rows.where("doc_ticker is not null and text is not null and day is not null").select("passage_id", "doc_ticker", "day", "document_id", index_words("text").alias("words"), analysed.alias("asked")))
     size = base.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("avg_len"))
     posts = base.select("passage_id", "doc_ticker", "day", "document_id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("passage_id", "doc_ticker", "day", "document_id", "len", "word").agg(F.count("*").alias("f"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rare = posts.groupBy("word").agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("word", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "avg_len")
     weighed = posts.join(rare, "word").select("doc_ticker", "word", F.col("passage_id").alias("candidate_id"), F.struct(F.col("day"), F.col("document_id")).alias("then"), (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))).alias("part"))
-    asked = base.select("passage_id", "doc_ticker", F.struct("day", "document_id").alias("now"), F.explode(F.array_distinct(F.flatten(F.transform("asked", index_words)))).alias("word"))
+    asked = base.select("passage_id", "doc_ticker", F.struct("day", "document_id").alias("now"), F.explode("asked").alias("word"))
     met = asked.join(weighed, ["doc_ticker", "word"]).where(F.col("then") < F.col("now")).groupBy("passage_id", "candidate_id").agg(F.round(F.sum("part"), 6).alias("score"))
     by = Window.partitionBy("passage_id").orderBy(F.desc("score"), "candidate_id")
     return met.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("passage_id", "candidate_id", "place")
@@ -96,14 +98,15 @@ def redlines(passages: DataFrame, pairs: DataFrame, *, most: int = 80) -> DataFr
     ``most`` items, changed before added before removed, in reading order.
     """
     texts = passages.dropDuplicates(["passage_id"]).where("text is not null").select("document_id", "passage_id", "seq", "text", tx.normalize("text").alias("norm"), tx.content_words("text").alias("words"))
-    new = pairs.join(texts.withColumnRenamed("document_id", "new_id"), "new_id").select("ticker", "family", "passage_id", "seq", "text", "norm", "words")
-    old = pairs.join(texts.withColumnRenamed("document_id", "old_id"), "old_id").select("ticker", "family", F.col("passage_id").alias("old_passage_id"), F.col("seq").alias("old_seq"), F.col("text").alias("old_text"), F.col("norm").alias("old_norm"), F.col("words").alias("old_words"))
+    # each is used several times, and has few of all passages: their words are worked out once
+    new = cut(pairs.join(texts.withColumnRenamed("document_id", "new_id"), "new_id").select("ticker", "family", "passage_id", "seq", "text", "norm", "words"))
+    old = cut(pairs.join(texts.withColumnRenamed("document_id", "old_id"), "old_id").select("ticker", "family", F.col("passage_id").alias("old_passage_id"), F.col("seq").alias("old_seq"), F.col("text").alias("old_text"), F.col("norm").alias("old_norm"), F.col("words").alias("old_words")))
     key = ["ticker", "family"]
     same = new.join(old.withColumnRenamed("old_norm", "norm"), [*key, "norm"]).select(*key, "passage_id", "old_passage_id")
     left = new.join(same.select("passage_id").distinct(), "passage_id", "left_anti")
     met = left.select(*key, "passage_id", F.explode("words").alias("word")).join(old.select(*key, "old_passage_id", F.explode("old_words").alias("word")), [*key, "word"]).select(*key, "passage_id", "old_passage_id").distinct()
     close = met.join(left.select("passage_id", "text", "words"), "passage_id").join(old.select("old_passage_id", "old_seq", "old_text", "old_words"), "old_passage_id")
-    close = close.where(tx.jaccard(F.col("words"), F.col("old_words")) >= tx.PREFILTER).withColumn("ratio", sequence_ratio("old_text", "text")).where(F.col("ratio") >= tx.NEAR)
+    close = cut(close.where(tx.jaccard(F.col("words"), F.col("old_words")) >= tx.PREFILTER)).withColumn("ratio", sequence_ratio("old_text", "text")).where(F.col("ratio") >= tx.NEAR)
     best = close.groupBy(*key, "passage_id").agg(F.max(F.struct("ratio", (-F.col("old_seq")).alias("s"), "old_passage_id")).alias("best"))
     changed = best.join(left.select("passage_id", "seq"), "passage_id").select(*key, F.lit("changed").alias("kind"), "passage_id", F.col("best.old_passage_id").alias("old_passage_id"), F.round("best.ratio", 4).alias("ratio"), "seq")
     none = F.lit(None)
