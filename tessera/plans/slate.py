@@ -321,10 +321,16 @@ def documents_by_week(spark, d):
     return table(spark, d, "documents").where(day.isNotNull()).groupBy(dt.iso_week(day).alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("select distinct period_key, case when period_key like 'FY%' then 'year' when period_key like '%-Q_' then 'quarter' when period_key like '%-H_' then 'half' else 'month' end as grain, substr(period_key, 6, 2) || ' ' || substr(period_key, 1, 4) as label, (substr(period_key, 7, 1)::int * 3)::int as end_month from mentions where period_key like '____-Q_'")
+@query("""with k as (select distinct period_key from mentions where period_key is not null union select distinct strftime(doc_date, '%Y-%m') from documents where doc_date is not null union select distinct strftime(doc_date, '%Y') || '-H' || (case when month(doc_date) < 7 then 1 else 2 end) from documents where doc_date is not null union select distinct 'FY' || strftime(doc_date, '%Y') from documents where doc_date is not null),
+ g as (select period_key, case when period_key like 'FY%' then 'year' when regexp_matches(period_key, '-Q[0-9]$') then 'quarter' when regexp_matches(period_key, '-H[0-9]$') then 'half' when regexp_matches(period_key, '-[0-9][0-9]$') then 'month' end as grain, try_cast(regexp_extract(period_key, '([0-9]+)$', 1) as int) as n, regexp_extract(period_key, '([0-9]{4})', 1) as y from k)
+ select period_key, grain, case grain when 'year' then 'FY ' || y when 'month' then strftime(make_date(y::int, n, 1), '%b') || ' ' || y else period_key[6:] || ' ' || y end as label, (case grain when 'year' then 12 when 'quarter' then 3 * n when 'half' then 6 * n else n end)::int as end_month from g where grain is not null""")
 def period_fields(spark, d):
+    """All keys of the mentions, and the months, halves and years of the documents' dates."""
+    day = table(spark, d, "documents").select("doc_date").where("doc_date is not null")
+    half = F.concat(F.year("doc_date").cast("string"), F.lit("-H"), F.when(F.month("doc_date") < 7, "1").otherwise("2"))
+    keys = table(spark, d, "mentions").select("period_key").union(day.select(F.date_format("doc_date", "yyyy-MM"))).union(day.select(half)).union(day.select(F.concat(F.lit("FY"), F.year("doc_date").cast("string")))).distinct()
     key = F.col("period_key")
-    return table(spark, d, "mentions").where("period_key like '____-Q_'").select("period_key", dt.granularity(key).alias("grain"), dt.period_label(key).alias("label"), dt.period_order(key)["end_month"].alias("end_month")).distinct()
+    return keys.where(dt.granularity(key).isNotNull()).select("period_key", dt.granularity(key).alias("grain"), dt.period_label(key).alias("label"), dt.period_order(key)["end_month"].alias("end_month"))
 
 
 @query("select doc_id, year(b)::varchar || '-Q' || quarter(b)::varchar as quarter, doc_date as read_back from (select doc_id, doc_date, (date_trunc('quarter', doc_date) - interval 1 day)::date b from documents where doc_date is not null)")
