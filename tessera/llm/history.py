@@ -3,11 +3,13 @@
 A document is the ordered string of its distinct three-word shingle hashes. Between two
 such strings the edit distance by insertion and deletion is the number of shingles that
 only one has, and a likeness of J bounds it by (1 - J) / J times the length of either. The
-string is stored in a number of segments fixed by its length class; a segment's position
-is its range of hash values, so it needs no shift when probed. If two strings differ by at
-most t shingles, at most t segments differ, so of each string the t + 1 most telling
-segments suffice: one of them is common to both. How telling a segment is comes from shingle
-frequencies in a bounded sample; that order changes the speed only, never the result.
+string is laid out in blocks, as many as its length class says, and each block in segments; both are
+ranges of hash values, so they need no shift when probed. If two strings in reach differ by d shingles
+in all, some block has no more than its share of them, at most APART: at most so many of its segments differ, so
+of each block the t + 1 most telling segments suffice, and the block's parities differ in
+at most APART bits. Texts that share a segment by chance grow with the square of the corpus; nearly all are
+told by the parities beside the key where the keys meet, and are never shuffled. How telling a segment is comes from
+shingle frequencies in a bounded sample; that order changes the speed only, never the result.
 A key that very many documents share is settled by its earliest ones first, see _peel.
 Candidates are verified, first by a bound from their profiles, then by their exact distance; accepted documents' segments are appended.
 """
@@ -31,9 +33,15 @@ from tessera.session import cut, release, shared_dir
 #: Texts read to learn which shingles are common, at most; and the cells of the frequency table.
 SAMPLE, CELLS = 8_000, 1 << 22
 SHIFT = 64 - 22
-#: Segments, as a share of a length class's upper end; more than (1 - J) / J of it, and few, so that segments are long.
-SPARE = 0.27
-#: Nodes that share a key and are paired with each other, at most; of more, leaders reject what is alike to them first.
+#: Upper ends of the length classes.
+TOPS = np.unique(np.ceil(1.5 ** np.arange(60)).astype(np.int64))
+#: Shingles by which a block of two strings in reach may differ, at most; segments of a block, more than that, and few, so that they are long.
+APART, SLOTS = 7, 10
+#: Bits of a block's parities; they share 64 bits with a key of 32.
+PARITIES = 31
+#: The form of the stored segments; an index of another form is refused.
+LAYOUT = 2
+#: Nodes that share a key and its block's parities and are paired with each other, at most; of more, leaders reject what is alike to them first.
 HOT = 500
 #: Links that one task may hold to settle what is open.
 ALONE = 1_000_000
@@ -41,6 +49,8 @@ ALONE = 1_000_000
 LAST = (1 << 63) - 1
 #: Keys of a batch that are looked up one by one, at most; and rows of a bucket that are held as a hash table, at most.
 PROBED, HELD = 1_000, 4_000_000
+#: Tasks that make the keys of a text, on average, from which on its keys are brought to one copy; below it the few copies cost less.
+COPIES = 1.25
 #: Bins of the profile that bounds an edit distance from below.
 BINS = 64
 
@@ -76,50 +86,66 @@ def in_reach(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def segment_keys(flat: np.ndarray, offsets: np.ndarray, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, key, profile) of the segments to store and probe for each non-empty set of ``flat``.
+    """(owner, key, profile) of the segments to store and probe for each non-empty set of ``flat``; a key has its block's parities in its lower 32 bits.
 
-    Length class: the power of two at or above the length; a string that can be alike to one
-    of the next class is also laid out in that class's segments.
+    A string is laid out in its own length class and in each class that a string alike to it can be of.
     """
-    size = np.diff(offsets)
-    slack = np.floor(size * (1 - least) / least + 1e-9).astype(np.int64)
-    top = np.int64(1) << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
-    wide = size / least > top
-    owner = np.concatenate((np.arange(len(size)), np.flatnonzero(wide)))
-    level = np.concatenate((top, 2 * top[wide]))
-    n_seg = np.maximum(64, np.maximum((level * SPARE).astype(np.int64), (level * (1 - least) / least).astype(np.int64) + 2))
+    size, part = np.diff(offsets), (1 - least) / (1 + least)
+    longest = np.floor(size / least + 1e-9).astype(np.int64)
+    first = np.searchsorted(TOPS, size)
+    n = np.searchsorted(TOPS, longest) - first + 1
+    owner = np.repeat(np.arange(len(size)), n)
+    level = TOPS[first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
+    blocks = np.floor(2 * level * part + 1e-9).astype(np.int64) // (APART + 1) + 1
+    apart = np.floor((size[owner] + np.minimum(longest[owner], level)) * part + 1e-9).astype(np.int64) // blocks
+    base = np.cumsum(blocks) - blocks  # blocks of all copies in a row
     lens = size[owner]
     start = np.concatenate(([0], np.cumsum(lens)))
     at = np.arange(start[-1]) - np.repeat(start[:-1] - offsets[owner], lens)
     values, copy = flat[at], np.repeat(np.arange(len(owner)), lens)
     with np.errstate(over="ignore"):
-        slot = ((values >> np.uint64(32)) * n_seg[copy].astype(np.uint64)) >> np.uint64(32)
-        edge = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (copy[1:] != copy[:-1]))))
-        content = np.add.reduceat(wh.mix(values), edge)
-        seg_copy = copy[edge]
-        place = slot[edge] + (level[seg_copy].astype(np.uint64) << np.uint64(32))
-        key = wh.mix(content ^ wh.mix(place))
+        slot = ((values >> np.uint64(32)) * (blocks * SLOTS)[copy].astype(np.uint64)) >> np.uint64(32)
+        edge = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (copy[1:] != copy[:-1])))[: len(slot)])
+        content = np.add.reduceat(wh.mix(values), edge) if len(edge) else np.empty(0, np.uint64)
+        seg_slot, seg_copy = slot[edge], copy[edge]
+        block = base[seg_copy] + seg_slot.astype(np.int64) // SLOTS
+        key = wh.mix(content ^ wh.mix(seg_slot + (level[seg_copy].astype(np.uint64) << np.uint64(32))))
+        bits = np.uint64(1) << (((values & np.uint64(0xFFFFFFFF)) * np.uint64(PARITIES)) >> np.uint64(32))
+        parity = np.zeros(blocks.sum(), np.uint64)
+        opens = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))[: len(block)])
+        if len(opens):
+            parity[block[opens]] = np.bitwise_xor.reduceat(bits, edge[opens])
         rare = (16 - np.log2(counts[(values >> np.uint64(SHIFT)).astype(np.int64)] + 1.0)) * 4096
-        telling = np.add.reduceat(rare.astype(np.int64), edge)
-        order = np.lexsort((key, -telling, seg_copy))
-        begin = np.searchsorted(seg_copy, np.arange(len(owner)))
-        rank = np.arange(len(order)) - begin[seg_copy[order]]
-        keep = order[rank <= slack[owner[seg_copy[order]]]]
-        keys, owners = key[keep], owner[seg_copy[keep]]
-        have = np.bincount(seg_copy, minlength=len(owner))
-        short = np.flatnonzero(have < slack[owner] + 1)
-        if len(short):  # fewer segments than needed hold anything: empty ones, in their order, fill up
+        telling = np.add.reduceat(rare.astype(np.int64), edge) if len(edge) else np.empty(0, np.int64)
+        order = np.lexsort((key, -telling, block))
+        have = np.bincount(block, minlength=len(parity))
+        rank = np.arange(len(order)) - (np.cumsum(have) - have)[block[order]]
+        whose = np.repeat(np.arange(len(owner)), blocks)
+        keep = order[rank <= apart[whose[block[order]]]]
+        keys, of = key[keep], block[keep]
+        short = np.flatnonzero(have < apart[whose] + 1)
+        if len(short):  # fewer segments of the block than needed hold anything: empty ones, in their order, fill up
+            begin = np.searchsorted(block, short)
             more_k, more_o = [], []
-            for c in short:
-                used = set(slot[edge][seg_copy == c].tolist())
-                empty = [x for x in range(int(n_seg[c])) if x not in used][: int(slack[owner[c]] + 1 - have[c])]
+            for g, i in zip(short.tolist(), begin.tolist()):
+                c = whose[g]
+                used = set(seg_slot[i : i + have[g]].tolist())
+                from_ = int(g - base[c]) * SLOTS
+                empty = [x for x in range(from_, from_ + SLOTS) if x not in used][: int(apart[c] + 1 - have[g])]
                 more_k.append(wh.mix(wh.mix(np.asarray(empty, np.uint64) + (level[c].astype(np.uint64) << np.uint64(32)))))
-                more_o.append(np.full(len(empty), owner[c]))
-            keys, owners = np.concatenate([keys, *more_k]), np.concatenate([owners, *more_o])
+                more_o.append(np.full(len(empty), g))
+            keys, of = np.concatenate([keys, *more_k]), np.concatenate([of, *more_o])
+        keys = (keys & np.uint64(0xFFFFFFFF00000000)) | parity[of]
+    owners = owner[whose[of]]
     order = np.argsort(owners, kind="stable")
     return owners[order], keys[order].view(np.int64), profiles(flat, offsets)
 
 
+def _close(x: str, y: str):
+    """Whether the parities of two blocks allow the distance; nothing in reach is lost."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= APART
+
+
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, verdict) of every open node from all links (early, late, ev) to open nodes, one node after another."""
     verdict, before, after = {}, defaultdict(list), defaultdict(list)
@@ -169,35 +195,35 @@ def _decide(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _pairs(probes: DataFrame, firsts: DataFrame, out: DataFrame) -> DataFrame:
     """(a, b), a < b: nodes that share a key, but for pairs whose earlier node is in ``out``: it is rejected and can't reject."""
     gone = F.coalesce("gone", F.lit(False))
-    known = probes.join(firsts.select("node", "first"), "node").join(out.select("node", F.lit(True).alias("gone")), "node", "left").select("key", F.struct("first", "node").alias("o"), "node", gone.alias("gone"))
-    x = known.where(~F.col("gone")).select("key", F.col("o").alias("ox"), F.col("node").alias("x"))
-    y = known.select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
-    return x.join(y, "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    known = probes.join(firsts.select("node", "first"), "node").join(out.select("node", F.lit(True).alias("gone")), "node", "left").select("key", "parity", F.struct("first", "node").alias("o"), "node", gone.alias("gone"))
+    x = known.where(~F.col("gone")).select("key", F.col("parity").alias("px"), F.col("o").alias("ox"), F.col("node").alias("x"))
+    y = known.select("key", F.col("parity").alias("py"), F.col("o").alias("oy"), F.col("node").alias("y"))
+    return x.join(y, "key").where(_close("px", "py")).where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable[[DataFrame], DataFrame], *, hot: int, most: int = 100) -> DataFrame:
     """(node): ``out``, what is rejected already, and nodes of hot keys that an accepted node surely rejects, found without pairing the nodes of a hot key with each other.
 
-    Of every key with over ``hot`` open nodes the earliest one leads. Leaders are settled by
+    Of every block, a key with its parities, with over ``hot`` open nodes the earliest one leads; nodes that share a key by chance have other parities. Leaders are settled by
     what they depend on alone: their earlier alike nodes that aren't in ``out``, those of these, and so on. The
     nodes of the key alike to an accepted leader are rejected; a leader settled is not open
     any more. A family of alike texts is gone after a round, whatever its size; keys that stay hot
     lose their leaders, one a round, up to ``most`` rounds, and what is left is paired in full.
     """
     led = probes.sparkSession.createDataFrame([], "node long")
-    placed = probes.join(firsts.select("node", "first"), "node").select("key", "node", F.struct("first", "node").alias("o"))
+    placed = probes.join(firsts.select("node", "first"), "node").select("key", "parity", "node", F.struct("first", "node").alias("o"))
     for _ in range(most):
         alive = placed.join(out, "node", "left_anti")  # what is rejected, by history or here, can't reject a leader
         open_ = alive.join(led, "node", "left_anti")
-        lead = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("o").alias("lead")).where(F.col("n") > hot).select("key", "lead"))
+        lead = cut(open_.groupBy("key", "parity").agg(F.count("*").alias("n"), F.min("o").alias("lead")).where(F.col("n") > hot).select("key", F.col("parity").alias("px"), "lead"))
         if not lead.limit(1).count():
             break
         leaders = cut(lead.select(F.col("lead.node").alias("node")).distinct())
         # what the leaders depend on: earlier nodes of their keys that are alike, then theirs
         seen, todo, edges = leaders, leaders, None
         while todo.limit(1).count():
-            mine = alive.join(todo, "node", "left_semi").select("key", F.col("o").alias("oy"), F.col("node").alias("y"))
-            met = mine.join(alive.select("key", F.col("o").alias("ox"), F.col("node").alias("x")), "key").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            mine = alive.join(todo, "node", "left_semi").select("key", F.col("parity").alias("py"), F.col("o").alias("oy"), F.col("node").alias("y"))
+            met = mine.join(alive.select("key", F.col("parity").alias("px"), F.col("o").alias("ox"), F.col("node").alias("x")), "key").where(_close("px", "py")).where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             alike = verify(cut(met)).select("a", "b")
             new = cut(near.ends(alike).join(seen, "node", "left_anti"))
             edges = cut(alike if edges is None else edges.union(alike).distinct())
@@ -207,7 +233,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
         directed = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
         settled = _decide(seen.select("node", F.lit(False).alias("accepted")), directed)
         accepted = leaders.join(settled.where("verdict = 'in'"), "node", "left_semi")
-        star = alive.join(lead, "key").where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi")
+        star = alive.join(lead, "key").where(_close("px", "parity")).where("o > lead").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).join(accepted.withColumnRenamed("node", "x"), "x", "left_semi")
         alike = verify(cut(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select("a", "b")
         hit = near.ends(alike).join(accepted, "node", "left_anti").union(settled.where("verdict = 'out'").select("node"))
         out, led = cut(out.union(hit).distinct()), cut(led.union(leaders).distinct())
@@ -217,7 +243,7 @@ def _peel(probes: DataFrame, firsts: DataFrame, out: DataFrame, verify: Callable
 class History:
     """The accepted documents so far: a segment index in a folder that all executors share.
 
-    ``segments`` has (key, node), in buckets by key; ``arrivals`` (node, at, doc_id, mark) of the
+    ``segments`` has (key, parity, node), in buckets by key; ``arrivals`` (node, at, doc_id, mark) of the
     earliest copy of each accepted text; ``texts`` (doc_id, text, at) of all documents that came. A batch is laid out by
     key once and meets the stored buckets where they lie: history is neither hashed, nor
     sorted, nor shuffled again. A batch of few keys reads only the buckets, and of
@@ -240,6 +266,8 @@ class History:
             kept = spark.read.parquet(f"{self.path}/settings").first()
             if (kept.least, kept.k) != (least, k):
                 raise ValueError(f"the index in {self.path} was made with least={kept.least}, k={kept.k}")
+            if kept.asDict().get("layout") != LAYOUT:
+                raise ValueError(f"the index in {self.path} was made by another version")
             self.counts, self.buckets = np.frombuffer(bytes(kept.counts), np.uint8), kept.buckets
 
     def _file(self, name: str):
@@ -263,19 +291,21 @@ class History:
     def _segments(self) -> tuple[str, DataFrame]:
         """(name in the catalog, rows) of the stored segments, known to lie in buckets by key."""
         name = f"segments_{uuid.uuid4().hex}"
-        self.spark.sql(f"create table {name} (key bigint, node bigint, batch int) using parquet partitioned by (batch) clustered by (key) into {self.buckets} buckets location '{self.path}/segments'")
+        self.spark.sql(f"create table {name} (key bigint, parity int, node bigint, batch int) using parquet partitioned by (batch) clustered by (key) into {self.buckets} buckets location '{self.path}/segments'")
         self.spark.sql(f"alter table {name} add if not exists " + " ".join(f"partition (batch={i})" for i in range(self.batches)))
-        return name, self.spark.table(name).select("key", "node")
+        return name, self.spark.table(name).select("key", "parity", "node")
 
     def meeting(self, own: DataFrame, segments: DataFrame) -> DataFrame:
-        """(a, b): nodes of ``own`` (key, node), laid out in the index's buckets, and stored nodes that share a key."""
+        """(a, b): nodes of ``own`` (key, node), laid out in the index's buckets, and stored nodes that share a key; of blocks too far apart only if ``own`` has no parities."""
         n = own.count()
         if n <= PROBED:
             segments = segments.where(F.col("key").isin([r.key for r in own.select("key").collect()]))
-        mine = own.select("key", F.col("node").alias("a"))
+        near_by = "parity" in own.columns
+        mine = own.select("key", F.col("node").alias("a"), *([F.col("parity").alias("pa")] if near_by else []))
         if n <= HELD * self.buckets:
             mine = mine.hint("shuffle_hash")
-        return segments.select("key", F.col("node").alias("b")).join(mine, "key").select("a", "b").distinct()
+        met = segments.select("key", "parity", F.col("node").alias("b")).join(mine, "key")
+        return (met.where(_close("pa", "parity")) if near_by else met).select("a", "b").distinct()
 
     def check(self, batch: DataFrame, row_id: str = "doc_id", text: str = "text", at: str = "ingested_at", *, append: bool = True) -> DataFrame:
         """(doc_id, twin): the rejected documents of the batch, each with the earliest accepted document it is alike to.
@@ -295,13 +325,18 @@ class History:
             texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={self.batches}")
             texts = self.spark.read.parquet(f"{self.path}/texts/batch={self.batches}")
         rows = near.kept(near.keyed(texts, "doc_id", "text", k=self.k, least_words=1, at=F.col("at"), maker=lambda flat, offsets: segment_keys(flat, offsets, least, counts.value)))
-        nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col("doc_id").alias("id"))).alias("first"), F.max("mark").alias("mark")))
-        own = near.kept(rows.select(F.explode("keys").alias("key"), "node").repartition(self.buckets, "key"))
+        nodes = cut(rows.groupBy("node").agg(F.min(F.struct("at", F.col("doc_id").alias("id"))).alias("first"), F.max("mark").alias("mark"), F.sum((F.size("keys") > 0).cast("long")).alias("made")))
+        both = rows.select(F.explode("keys").alias("both"), "node")
+        own = both.select(F.shiftright("both", 32).alias("key"), F.col("both").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("parity"), "node").repartition(self.buckets, "key")
+        if (nodes.agg(F.avg("made")).first()[0] or 0) > COPIES:
+            own = own.distinct()
+        own = near.kept(own)
         firsts = nodes.select("node", "first", "mark", F.lit(False).alias("accepted"))
         met = None
         if self.batches:
             name, segments = self._segments()
             met = cut(self.meeting(own, segments))
+            release(self.spark)
             self.spark.sql(f"drop table {name}")
             asked = cut(met.select(F.col("b").alias("node")).distinct())
             old = self._read("arrivals").join(near.small(asked), "node").select("node", F.struct("at", F.col("doc_id").alias("id")).alias("first"), "mark", F.lit(True).alias("accepted"))
@@ -318,8 +353,8 @@ class History:
                 picked = picked.union(self._read("texts").join(wanted.where("accepted"), "doc_id").select("node", "text"))
             return cut(near.alike(close, near.hashed(picked, "text", self.k), least))
 
-        probes = cut(near.met(own))
-        hottest = probes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        probes = cut(near.met(own, "parity"))
+        hottest = probes.groupBy("key", "parity").count().agg(F.max("count")).first()[0] or 0
         if hottest > self.hot:
             out, known = self.spark.createDataFrame([], "node long"), None
             if met is not None:  # what history rejects can't reject anything
@@ -328,9 +363,10 @@ class History:
             links = verify(_pairs(probes, firsts, _peel(probes, firsts, out, verify, hot=self.hot))).select("a", "b")
             links = links if known is None else cut(links.union(known).distinct())
         else:
-            pairs = near.together(probes)
+            pairs = probes.select("key", F.col("parity").alias("pa"), F.col("node").alias("a")).join(probes.select("key", F.col("parity").alias("pb"), F.col("node").alias("b")), "key").where(_close("pa", "pb")).where("a < b").select("a", "b").distinct()
             links = verify(pairs if met is None else pairs.union(met).distinct()).select("a", "b")
 
+        release(self.spark)
         order = firsts.select("node", F.struct(~F.col("accepted"), "first", "node").alias("o"), "accepted")
         x, y = (order.select(F.col("node").alias(v), F.col("o").alias(f"o{v}")) for v in "ab")
         ordered = cut(links.join(x, "a").join(y, "b").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late")))
@@ -353,11 +389,11 @@ class History:
         """Adds the accepted nodes of the batch; their keys stay in the buckets they lie in."""
         part = f"batch={self.batches}"
         if not self.batches:
-            settings = [(self.least, self.k, self.buckets, self.counts.tobytes())]
-            self.spark.createDataFrame(settings, "least double, k int, buckets int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
+            settings = [(self.least, self.k, self.buckets, LAYOUT, self.counts.tobytes())]
+            self.spark.createDataFrame(settings, "least double, k int, buckets int, layout int, counts binary").write.mode("overwrite").parquet(f"{self.path}/settings")
         gone = near.small(cut(twins.select("node").union(firsts.where("accepted").select("node"))))
         name = f"part_{uuid.uuid4().hex}"
-        own.join(gone, "node", "left_anti").select("key", "node").write.bucketBy(self.buckets, "key").option("path", f"{self.path}/segments/{part}").mode("overwrite").saveAsTable(name)
+        own.join(gone, "node", "left_anti").select("key", "parity", "node").write.bucketBy(self.buckets, "key").option("compression", "zstd").option("path", f"{self.path}/segments/{part}").mode("overwrite").saveAsTable(name)
         self.spark.sql(f"drop table {name}")
         new = firsts.join(gone, "node", "left_anti").select("node", F.col("first.at").alias("at"), F.col("first.id").alias("doc_id"), "mark")
         new.write.mode("overwrite").parquet(f"{self.path}/arrivals/{part}")

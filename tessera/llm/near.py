@@ -120,10 +120,10 @@ def runs(rows: DataFrame) -> DataFrame:
     return met(rows.select("node", F.explode("keys").alias("key")).repartition(parts, "key"))
 
 
-def met(keys: DataFrame) -> DataFrame:
-    """(key, node) of the keys that two nodes or more have; ``keys`` is laid out by key already."""
+def met(keys: DataFrame, *more: str) -> DataFrame:
+    """(key, node) of the keys that two nodes or more have, and the columns ``more``; ``keys`` is laid out by key already."""
     w = Window.partitionBy("key")
-    return keys.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo < hi").select("key", "node")
+    return keys.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo < hi").select("key", "node", *more)
 
 
 def together(found: DataFrame) -> DataFrame:

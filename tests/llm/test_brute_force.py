@@ -339,3 +339,30 @@ def test_history_part_that_broke_off_is_written_anew(spark, tmp_path):
         (tmp_path / "index" / "batches" / str(n)).unlink()  # as if it had ended before its mark
         got |= {tuple(r) for r in history.History(spark, path).check(batch).collect()}
     assert got == wanted_rejections()
+
+
+def test_history_tells_chance_meetings_where_keys_meet(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    stock = [" ".join(rnd.choices(words, k=12)) for _ in range(60)]
+    texts = [" ".join(rnd.sample(stock, 20)) for _ in range(300)]  # any two share about a fifth of their shingles
+    texts += [t.replace(" w1", " x1", 1) for t in texts[:20]] + texts[:5] * 3  # alike ones, and copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "cast(null as timestamp) as ingested_at").repartition(4)
+    accepted, want = [], set()
+    for i, t in enumerate(texts):
+        s = shingles(t)
+        twin = next((j for j, o in accepted if like(s, o) >= 0.8), None)
+        if twin is None:
+            accepted.append((i, s))
+        else:
+            want.add((i, twin))
+    checked, whole = [], near.promising
+    monkeypatch.setattr(history, "COPIES", 0)  # keys made by several tasks are brought to one copy
+    monkeypatch.setattr(near, "promising", lambda pairs, *a: checked.append(pairs.count()) or whole(pairs, *a))
+    known, got = history.History(spark), set()
+    for part in ("doc_id < 200", "doc_id >= 200"):
+        got |= {tuple(r) for r in known.check(docs.where(part)).collect()}
+    assert got == want and len(want) >= 35
+    assert sum(checked) < 0.05 * 300 * 299 / 2
