@@ -22,11 +22,11 @@ from tessera.session import cut, release
 # Filing forms that are compared with each other.
 FORM_FAMILIES = {"10-K": ("10-K", "10-K/A", "20-F", "40-F"), "10-Q": ("10-Q", "10-Q/A")}
 #: Passages whose candidates are found in one task: those of a ticker go to up to TILES tasks of TILE or more, but never over TILE_MOST in one.
-TILE, TILES, TILE_MOST = 8192, 8, 65536
+TILE, TILES, TILE_MOST = 16384, 8, 65536
 #: Words with their number of passages that are broadcast together, at most (12 bytes each); beyond it they are joined with a shuffle.
 BROADCAST_WORDS = 1_000_000
-#: Scores that a task holds at once.
-CELLS = 1 << 18
+#: Candidates and scores that a task works on at once.
+CHUNK, CELLS = 8192, 1 << 18
 _TOKEN, _WORD = re.compile(tx.TOKEN, re.ASCII), re.compile(r"[^\W_]+")
 _STOPWORDS, _PLAIN = frozenset(tx.STOPWORDS), str.maketrans(MARKED, PLAIN)
 _OF_PASSAGE = ("passage_id", "doc_ticker", "day", "document_id")
@@ -63,44 +63,57 @@ class _Hash(dict):
         return h
 
 
+def _indexed(low: str) -> list[str]:
+    """``index_words`` of a lower-cased text; marks don't part words, so they are taken off word by word."""
+    words = _WORD.findall(low)
+    return words if low.isascii() else [w if w.isascii() else w.translate(_PLAIN) for w in words]
+
+
+def _tells(token: str) -> bool:
+    return token not in _STOPWORDS and (len(token) > 2 or any(map(str.isdigit, token)))
+
+
 def analysed(text: str) -> tuple[list[str], list[str], list[str]]:
     """The same as ``index_words`` and ``tx.content_words`` of a text, and the indexed words of its ``tx.query_terms``, each once."""
     low = text.lower()
-    content = list(dict.fromkeys(w for w in _TOKEN.findall(low) if w not in _STOPWORDS and (len(w) > 2 or not w.isalpha() and any(map(str.isdigit, w)))))
-    asked = dict.fromkeys(x for w in sorted(content, key=len, reverse=True)[: tx.QUERY_TERMS] for x in _WORD.findall(w))
-    return _WORD.findall(low.translate(_PLAIN)), content, list(asked)
+    content = list(filter(_tells, dict.fromkeys(_TOKEN.findall(low))))
+    asked = dict.fromkeys(x for w in sorted(content, key=len, reverse=True)[: tx.QUERY_TERMS] for x in ((w,) if w.isalnum() else _WORD.findall(w)))
+    return _indexed(low), content, list(asked)
 
 
 def _counted(base: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """((h, n): in how many passages each word is as an indexed one, by its hash; the seed of the hash, by which no two words of the corpus have one; passages, and their mean number of words)."""
+    """((h, n, asked): in how many passages each word is as an indexed one, and whether it may be asked for, by its hash; the seed of the hash, by which no two words of the corpus have one; passages, and their mean number of words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, asked, total, size = Counter(), set(), 0, 0
+        n, tokens, total, size = Counter(), set(), 0, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words, content, terms = analysed(text)
+                low = text.lower()
+                words = _indexed(low)
                 n.update(set(words))
-                asked.update(content, terms)
+                tokens.update(_TOKEN.findall(low))
                 total, size = total + 1, size + len(words)
-            if len(n) + len(asked) > BROADCAST_WORDS:
-                yield given(n, asked, total, size)
-                n, asked, total, size = Counter(), set(), 0, 0
-        yield given(n, asked, total, size)
-
-    def given(n: Counter, asked: set[str], total: int, size: int) -> pa.RecordBatch:
-        rest = list(asked - n.keys())
-        return pa.RecordBatch.from_arrays([pa.array([None, *n, *rest], pa.string()), pa.array([total, *n.values(), *[0] * len(rest)], pa.int64()), pa.array([size] + [0] * (len(n) + len(rest)), pa.int64())], names=["word", "n", "size"])
-
-    words = cut(base.select("text").mapInArrow(count, "word string, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+            if len(n) + len(tokens) > BROADCAST_WORDS:
+                yield given(n, tokens, total, size)
+                n, tokens, total, size = Counter(), set(), 0, 0
+        yield given(n, tokens, total, size)
+
+    def given(n: Counter, tokens: set[str], total: int, size: int) -> pa.RecordBatch:
+        content = set(filter(_tells, tokens))
+        asked = {x for w in content for x in _WORD.findall(w)}
+        all_ = list(content | asked | n.keys())
+        return pa.RecordBatch.from_arrays([pa.array([None, *all_], pa.string()), pa.array([total, *(n[w] for w in all_)], pa.int64()), pa.array([size] + [0] * len(all_), pa.int64()), pa.array([False, *(w in asked for w in all_)])], names=["word", "n", "size", "asked"])
+
+    words = cut(base.select("text").mapInArrow(count, "word string, n long, size long, asked boolean").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.bool_or("asked").alias("asked")))
     total, size = words.where("word is null").select("n", "size").first() or (0, 0)
     for seed in range(64):
 
         def hashes(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
             known = _Hash(seed)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([known[w] for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([known[w] for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1), batch.column(2)], names=["h", "n", "asked"])
 
-        hashed = words.where("word is not null").select("word", "n").mapInArrow(hashes, "h long, n long")
+        hashed = words.where("word is not null").select("word", "n", "asked").mapInArrow(hashes, "h long, n long, asked boolean")
         if hashed.groupBy("h").count().where("count > 1").isEmpty():
             return hashed, seed, total, (size / total if total else 0.0) or 1.0
     raise ValueError("no hash tells all words")
@@ -146,9 +159,9 @@ class _Best:
         if start == self.n:
             return
         ends, words = _offsets(rows.column("words"))
-        size = np.diff(ends)
+        size = rows.column("size").to_numpy()
         vocabulary, word = np.unique(words, return_inverse=True)
-        key, f = np.unique(word.astype(np.int64) * C + np.repeat(np.arange(C), size), return_counts=True)
+        key, f = np.unique(word.astype(np.int64) * C + np.repeat(np.arange(C), np.diff(ends)), return_counts=True)
         if not len(key):
             return
         doc = key % C
@@ -214,7 +227,7 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES, *, least: float = 0.0
     base = rows.where("doc_ticker is not null and text is not null and day is not null").select("passage_id", "doc_ticker", "day", "document_id", "text")
     counted, seed, total, avg_len = _counted(base)
     idf = F.log((F.lit(total) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    rare = counted.select("h", F.when(F.col("n") == 0, 0.0).when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
+    rare = counted.select("h", F.when((F.col("n") == 0) | ~F.col("asked"), 0.0).when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
     few = counted.limit(broadcast + 1).count() <= broadcast
     table = rare.toPandas().sort_values("h") if few else None
     known = base.sparkSession.sparkContext.broadcast((table["h"].to_numpy(np.int64), table["idf"].to_numpy(float)) if few else None)
@@ -223,20 +236,24 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES, *, least: float = 0.0
         number = _Hash(seed)
         for batch in batches:
             columns = []
-            for each in zip(*map(analysed, batch.column("text").to_pylist())):
+            found = [analysed(t) for t in batch.column("text").to_pylist()]
+            for each in zip(*found):
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
                 flat = np.fromiter(map(number.__getitem__, chain.from_iterable(each)), np.int64, ends[-1])
                 if few:
                     flat = np.searchsorted(known.value[0], flat).astype(np.int32)
+                if few and not columns:  # of the words of a passage only those that may be asked for
+                    hit = known.value[1][flat] > 0
+                    flat, ends = flat[hit], np.concatenate(([0], np.cumsum(hit)))[ends].astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             if not columns:
                 continue
             weights = columns[2].flatten().to_numpy()
             weights = pa.ListArray.from_arrays(columns[2].offsets, pa.array(known.value[1][weights] if few else np.zeros(len(weights))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in _OF_PASSAGE] + [*columns, weights], names=[*_OF_PASSAGE, "words", "content", "asked", "idf"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in _OF_PASSAGE] + [pa.array([len(f[0]) for f in found], pa.int32()), *columns, weights], names=[*_OF_PASSAGE, "size", "words", "content", "asked", "idf"])
 
     word = "int" if few else "long"
-    weighed = base.mapInArrow(analyse, f"passage_id long, doc_ticker string, day date, document_id long, words array<{word}>, content array<{word}>, asked array<{word}>, idf array<double>")
+    weighed = base.mapInArrow(analyse, f"passage_id long, doc_ticker string, day date, document_id long, size int, words array<{word}>, content array<{word}>, asked array<{word}>, idf array<double>")
     if not few:
         each = weighed.select("passage_id", F.explode("asked").alias("h")).join(rare.where("idf > 0"), "h").groupBy("passage_id").agg(F.collect_list(F.struct("h", "idf")).alias("of"))
         weighed = weighed.drop("asked", "idf").join(each, "passage_id", "left").withColumn("asked", F.coalesce("of.h", F.array().cast("array<bigint>"))).withColumn("idf", F.coalesce("of.idf", F.array().cast("array<double>"))).drop("of")
@@ -246,7 +263,7 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES, *, least: float = 0.0
     none = lambda column: F.slice(column, 1, 0)
     to = F.concat(F.array(F.struct(F.col("mine").alias("tile"), F.lit(0).alias("kind"))), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("kind"))))
     sent = sent.withColumn("to", F.explode(to)).withColumn("asks", F.col("to.kind") == 0)
-    sent = sent.select("doc_ticker", "to.tile", "to.kind", "day", "document_id", "passage_id", F.when(F.col("asks"), none("words")).otherwise(F.col("words")).alias("words"), "content", F.when(F.col("asks"), F.col("asked")).otherwise(none("asked")).alias("asked"), F.when(F.col("asks"), F.col("idf")).otherwise(none("idf")).alias("idf"))
+    sent = sent.select("doc_ticker", "to.tile", "to.kind", "day", "document_id", "passage_id", "size", F.when(F.col("asks"), none("words")).otherwise(F.col("words")).alias("words"), "content", F.when(F.col("asks"), F.col("asked")).otherwise(none("asked")).alias("asked"), F.when(F.col("asks"), F.col("idf")).otherwise(none("idf")).alias("idf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, asks, best = None, [], None
@@ -263,8 +280,8 @@ def candidates(rows: DataFrame, most: int = tx.CANDIDATES, *, least: float = 0.0
                     asks.append(some)
                 elif asks:
                     best = best or _Best(pa.Table.from_batches(asks).combine_chunks().to_batches()[0], most, avg_len)
-                    for at in range(0, some.num_rows, TILE):
-                        best.meet(some.slice(at, TILE))
+                    for at in range(0, some.num_rows, CHUNK):
+                        best.meet(some.slice(at, CHUNK))
         if best:
             yield best.rows(least)
 

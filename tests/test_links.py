@@ -48,6 +48,7 @@ def _brute(rows, most):
 @pytest.mark.parametrize("tile, broadcast", [(8192, 10**6), (16, 10**6), (16, 3)])
 def test_candidates(texts, monkeypatch, tile, broadcast):
     monkeypatch.setattr(linking, "TILE", tile)
+    monkeypatch.setattr(linking, "CHUNK", tile)
     got = linking.candidates(texts, 5, broadcast=broadcast)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner.*word", plan)  # no passage meets another in a shuffle
