@@ -1,13 +1,13 @@
 """Problem 9: the subjects of each document, by label propagation over a verified document graph.
 
 Documents are compared by their telling words: those whose hand-labelled documents agree
-on a subject, in a document's own sentences, outside quotes and its source's repeated lines. Documents
-that agree in the two least of a min-wise hash of these words meet in a bucket; each is a
-candidate neighbour of the bucket's representatives, hand-labelled ones first, so links are linear in
-the documents, whatever the size of a bucket. A link is verified on the whole word sets, by shared words and
-containment, and weighs the square of their likeness. Labels go round over the links by
-joins; hand-given labels that the graph supports are trusted and clamped, others are released; a
-document keeps every subject with a share of its neighbours' labels. What a subject needs to be a document's
+on a subject, in a document's own sentences, outside quotes and its source's repeated lines. Every
+two documents that share SHARED of these words and CONTAINED of the smaller set are linked; there are
+no candidates beside that, and a link weighs the square of the sets' likeness. Links are neither
+shuffled nor stored: documents with the same words are one node, the nodes are dealt to tiles, and a
+task compares those of its tile with all that have a label and adds up what they bring. Labels go
+round over the links; hand-given labels that the graph supports are trusted and clamped, others are
+released; a document keeps every subject with a share of its neighbours' labels. What a subject needs to be a document's
 own, sentences of its own, is then checked on its text, by the words telling in the
 propagated labels.
 """
@@ -31,12 +31,12 @@ from tessera.session import cut
 OWN, CLAMPED = 3, 2
 #: Labelled documents of a word, at least, when it is learnt from hand-given labels and from propagated ones, and the share of them that must agree on one subject.
 SEED_SUPPORT, SUPPORT, AGREEMENT = 2, 3, 0.6
-#: Buckets of a whole document, beside those of its sentences, and representatives of a bucket.
-BUCKETS, REPRESENTATIVES = 3, 1
 #: A link's shared telling words and their share of the smaller set, at least.
 SHARED, CONTAINED = 2, 0.15
 #: A label's share among a document's neighbours that gives it to the document; that keeps a hand-given one.
 GIVEN_ON, TRUSTED = 0.25, 0.15
+#: Nodes of a tile, at most, and its nodes times subjects (8 bytes each); tiles for each core where there are fewer nodes; nodes compared at once.
+TILE, CELLS, TILES, CHUNK = 131_072, 8_000_000, 2, 512
 #: Line hashes of all sources that are broadcast together, at most (8 bytes each); beyond it they are joined with a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -132,44 +132,48 @@ def _seeds(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def _tell(own: DataFrame, labels: DataFrame, support: int) -> DataFrame:
-    """(word, subject, weight): the words whose labelled documents agree on a subject, verified. labels: (doc_id, subject, weight)."""
+    """(word, subject, weight, n): the words whose labelled documents agree on a subject, verified, and the number of these documents. labels: (doc_id, subject, weight)."""
     met = own.join(labels, "doc_id").select(F.explode(F.array_distinct("words")).alias("word"), "subject", "weight").groupBy("word", "subject").agg(F.sum("weight").alias("w"))
     best = met.groupBy("word").agg(F.sum("w").alias("n"), F.max(F.struct("w", "subject")).alias("top"))
-    return cut(best.where((F.col("n") >= support - 1e-9) & (F.col("top.w") >= (AGREEMENT - 1e-9) * F.col("n"))).select("word", F.col("top.subject").alias("subject"), (F.col("top.w") / F.col("n")).alias("weight")))
+    return cut(best.where((F.col("n") >= support - 1e-9) & (F.col("top.w") >= (AGREEMENT - 1e-9) * F.col("n"))).select("word", F.col("top.subject").alias("subject"), (F.col("top.w") / F.col("n")).alias("weight"), "n"))
 
 
-def _said(own: DataFrame, telling: DataFrame) -> DataFrame:
-    """(doc_id, said): sentence * 2**32 + word of every telling word of a document, for documents that have any.
+def telling_sets(own: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc_id, words): the distinct telling words of a document, for documents that have any.
 
-    Up to BROADCAST_IDS telling words go to the tasks as one array of 4 bytes each; more are joined.
+    Up to BROADCAST_IDS telling words go to the tasks and are numbered from the one of most
+    labelled documents on, so that ``words`` begins with the commonest; more are joined and keep their hashes.
     """
-    words = telling.select("word")
+    words = telling.select("word", "n")
     if words.limit(near.BROADCAST_IDS + 1).count() > near.BROADCAST_IDS:
-        met = own.select("doc_id", F.explode(F.arrays_zip("words", "sentences")).alias("at")).select("doc_id", F.col("at.words").alias("word"), F.col("at.sentences").cast("long").alias("sentence")).join(words, "word", "left_semi")
-        return met.groupBy("doc_id").agg(F.collect_list(F.shiftleft("sentence", 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("said"))
-    known = own.sparkSession.sparkContext.broadcast(np.sort(words.toPandas()["word"].to_numpy(np.int32)))
+        met = own.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(words, "word", "left_semi")
+        return met.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    table = words.orderBy(F.desc(F.round("n", 6)), "word").toPandas()["word"].to_numpy(np.int32)
+    place = np.argsort(table)
+    known = own.sparkSession.sparkContext.broadcast((table[place], place.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = known.value
+        have, number = known.value
         for batch in batches:
             words = batch.column("words")
-            ends, flat = words.offsets.to_numpy(), words.flatten().to_numpy()
+            size, flat = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
             if not len(flat) or not len(have):
                 continue
-            hit = have[np.minimum(np.searchsorted(have, flat), len(have) - 1)] == flat
-            said = (batch.column("sentences").flatten().to_numpy()[hit].astype(np.int64) << 32) + flat[hit].view(np.uint32)
-            ends = np.concatenate(([0], np.cumsum(hit)))[ends - ends[0]].astype(np.int32)
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(said))], names=["doc_id", "said"])
+            at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
+            hit = have[at] == flat
+            both = np.unique((np.repeat(np.arange(batch.num_rows), size)[hit] << 32) + number[at[hit]])
+            ends = np.searchsorted(both >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array((both & 0xFFFFFFFF).astype(np.int32)))], names=["doc_id", "words"])
             yield out.filter(pa.array(np.diff(ends) > 0))
 
-    return own.mapInArrow(run, "doc_id long, said array<long>")
+    return own.select("doc_id", "words").mapInArrow(run, "doc_id long, words array<int>")
 
 
 def _support(own: DataFrame, telling: DataFrame) -> DataFrame:
     """(doc_id, subject, n): how many own sentences of each document support each subject, a sentence the strongest only, of equally strong ones the last by name."""
     if telling.limit(near.BROADCAST_IDS + 1).count() > near.BROADCAST_IDS:
-        said = _said(own, telling).select("doc_id", F.explode("said").alias("at")).select("doc_id", F.shiftright("at", 32).alias("sentence"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word"))
-        votes = said.join(telling.withColumn("word", F.col("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), "word").groupBy("doc_id", "sentence", "subject").agg(F.round(F.sum("weight"), 9).alias("w"))
+        said = own.select("doc_id", F.explode(F.arrays_zip("words", "sentences")).alias("at")).select("doc_id", F.col("at.sentences").alias("sentence"), F.col("at.words").alias("word"))
+        votes = said.join(telling.select("word", "subject", "weight"), "word").groupBy("doc_id", "sentence", "subject").agg(F.round(F.sum("weight"), 9).alias("w"))
         return votes.groupBy("doc_id", "sentence").agg(F.max(F.struct("w", "subject")).alias("top")).groupBy("doc_id", F.col("top.subject").alias("subject")).agg(F.count("*").alias("n"))
     table = telling.orderBy("word").toPandas()
     names = sorted(set(table["subject"]))
@@ -202,74 +206,149 @@ def _support(own: DataFrame, telling: DataFrame) -> DataFrame:
     return counted.select("doc_id", F.element_at(F.array(*map(F.lit, names)) if names else F.array(F.lit("")), F.col("s") + 1).alias("subject"), "n")
 
 
-def bucketed(features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, words, keys) of ``features`` (doc_id, said), whose ``said`` has sentence * 2**32 + word of each telling word.
-
-    Keys name pairs of words: of each sentence the neighbours in the words' order, so that a
-    subject of few sentences has keys of its own, and of the whole document the two least
-    by each of ``buckets`` hash functions.
+class _Tile:
+    """Sums over the links of some nodes, its rows, to all nodes that it meets."""
+
+    def __init__(self, rows: pa.RecordBatch, n_subjects: int) -> None:
+        self.node = rows.column("node").to_numpy()
+        words, wanted = rows.column("words"), rows.column("subjects")
+        self.ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        self.known, self.code = np.unique(words.flatten().to_numpy(), return_inverse=True)
+        self.sums = np.zeros((len(self.node), n_subjects))
+        self.wanted = np.zeros((len(self.node), n_subjects), bool)
+        self.wanted[np.repeat(np.arange(len(self.node)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()] = True
+        self.by_node = np.argsort(self.node)
+        self.room = [np.empty(CHUNK * CHUNK, np.float32) for _ in range(2)]
+        self.chunks = [(a, min(a + CHUNK, len(self.node))) for a in range(0, len(self.node), CHUNK)]
+        self.here = np.zeros((len(self.chunks), len(self.known)), bool)
+        for c, (a, b) in enumerate(self.chunks):
+            self.here[c, self.code[self.ends[a] : self.ends[b]]] = True
+
+    def meet(self, rows: pa.RecordBatch, some: bool) -> None:
+        """Adds what the labels of ``rows``, at most CHUNK, bring; if ``some``, only to nodes with a wanted subject that nothing has brought yet."""
+        words, subjects = rows.column("words"), rows.column("subjects")
+        size, flat = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        hit = self.known[at] == flat
+        code, owner = at[hit], np.repeat(np.arange(len(size)), size)[hit]
+        there = np.zeros(len(self.known), bool)
+        there[code] = True
+        labels = np.zeros((len(size), self.sums.shape[1]), np.float32)
+        labels[np.repeat(np.arange(len(size)), np.diff(subjects.offsets.to_numpy())), subjects.flatten().to_numpy()] = rows.column("weights").flatten().to_numpy()
+        node = rows.column("node").to_numpy()
+        same = self.by_node[np.minimum(np.searchsorted(self.node, node, sorter=self.by_node), len(self.node) - 1)]
+        same[self.node[same] != node] = -1
+        for c, (a, b) in enumerate(self.chunks):
+            both = self.here[c] & there
+            if np.count_nonzero(both) < SHARED:
+                continue
+            asking = (self.wanted[a:b] & (self.sums[a:b] == 0)).any(1) if some else np.ones(b - a, bool)
+            if not asking.any():
+                continue
+            mine = self.ends[a : b + 1]
+            i, x = _dense(np.repeat(np.arange(b - a), np.diff(mine)), self.code[mine[0] : mine[-1]], both, asking)
+            j, y = _dense(owner, code, both, np.ones(len(size), bool))
+            if not len(i) or not len(j):
+                continue
+            shared, weight = (r[: len(i) * len(j)].reshape(len(i), len(j)) for r in self.room)
+            np.matmul(x, y.T, out=shared)
+            n, m = np.diff(mine)[i], size[j]
+            np.add.outer(n.astype(np.float32), m.astype(np.float32), out=weight)
+            weight -= shared
+            np.divide(shared, weight, out=weight)
+            weight *= weight
+            # a share of the smaller set is the smaller share
+            n, m = (np.maximum(CONTAINED * k - 1e-6, SHARED).astype(np.float32) for k in (n, m))
+            weight *= shared >= np.minimum.outer(n, m)
+            for k in np.flatnonzero((same[j] >= a) & (same[j] < b)):  # a node is no neighbour of itself
+                weight[i == same[j[k]] - a, k] = 0
+            self.sums[a + i] += weight @ labels[j]
+
+    def rows(self) -> pa.RecordBatch:
+        who, subject = np.nonzero(self.sums)
+        each = np.flatnonzero(np.bincount(who, minlength=len(self.node)))
+        ends = pa.array(np.concatenate((np.searchsorted(who, each), [len(who)])).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(self.node[each]), pa.ListArray.from_arrays(ends, pa.array(subject.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(self.sums[who, subject]))], names=["node", "subjects", "sums"])
+
+
+def _dense(owner: np.ndarray, code: np.ndarray, among: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix) of the rows asking that have at least SHARED words of those in ``among``: 1 where a row has the word."""
+    hit = among[code] & asking[owner]
+    owner, code = owner[hit], code[hit]
+    count = np.bincount(owner, minlength=len(asking))
+    use = np.flatnonzero(count >= SHARED)
+    row = np.full(len(asking), -1)
+    row[use] = np.arange(len(use))
+    hit = row[owner] >= 0
+    out = np.zeros((len(use), np.count_nonzero(among)), np.float32)
+    out[row[owner[hit]], (np.cumsum(among) - 1)[code[hit]]] = 1
+    return use, out
+
+
+def _nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, node), (node, words)): documents with the same telling words are one node; those with too few to be linked are left out."""
+    named = near.kept(sets.where(F.size("words") >= SHARED).select("doc_id", F.xxhash64("words").alias("node"), "words"))
+    return named.select("doc_id", "node"), near.kept(named.groupBy("node").agg(F.first("words").alias("words")))
+
+
+def neighbours(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject, s): the weights of the links of each document to documents with a label, by subject, each times the label's weight.
+
+    docs, nodes: as given by ``_nodes``; labels: (doc_id, subject, weight). With ``wanted``
+    (doc_id, subject) only documents in it ask, and of their sums only those of wanted
+    subjects are sure to be there, and only to be above 0 where they are so in whole.
     """
+    spark, number = docs.sparkSession, (F.array_position(F.array(*map(F.lit, names)), F.col("subject")) - 1).cast("int")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    given = docs.join(labels, "doc_id").groupBy("node", "subject").agg(F.sum("weight").alias("w"))
+    per = near.kept(given.groupBy("node").agg(F.collect_list(F.struct(number.alias("s"), "w")).alias("of")).select("node", F.col("of.s").alias("subjects"), F.col("of.w").alias("weights")))
+    asks = nodes.withColumn("subjects", none("int"))
+    if wanted is not None:
+        asks = nodes.join(docs.join(wanted, "doc_id").groupBy("node").agg(F.collect_set(number).alias("subjects")), "node")
+    n = nodes.count()
+    tiles = max(1, -(-n // max(1, min(TILE, CELLS // len(names)))), min(-(-n // CHUNK), TILES * spark.sparkContext.defaultParallelism))
+    # numbers of tiles of which each is in another partition
+    keys = [r[0] for r in spark.range(64 * tiles).groupBy(F.pmod(F.hash("id"), F.lit(tiles)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").select("id").collect()]
+    tile = F.array(*map(F.lit, keys)).cast("array<bigint>")
+    sent = asks.select(F.element_at(tile, (F.pmod(F.col("node"), F.lit(len(keys))) + 1).cast("int")).alias("tile"), F.lit(0).alias("kind"), "node", "words", "subjects", none("double").alias("weights"))
+    sent = sent.union(nodes.join(per, "node").select(F.explode(tile).alias("tile"), F.lit(1), "node", "words", "subjects", "weights"))
+    size, some = len(names), wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = wh.mix(np.arange(1, buckets + 1, dtype=np.uint64) << np.uint64(32))
+        last, asking, met = None, [], None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            said = batch.column("said")
-            size = np.diff(said.offsets.to_numpy())
-            flat, owner = said.flatten().to_numpy(), np.repeat(np.arange(n), size)
-            order = np.lexsort((flat, owner))
-            flat, owner = flat[order], owner[order]
-            word = (flat & 0xFFFFFFFF).astype(np.uint64)
-            pair = np.flatnonzero((owner[1:] == owner[:-1]) & (flat[1:] >> 32 == flat[:-1] >> 32))
-            whose, keys = [owner[pair]], [wh.mix(word[pair] ^ wh.mix(word[pair + 1]))]
-            order = np.lexsort((word, owner))
-            word, owner = word[order], owner[order]
-            once = np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))
-            word, owner = word[once], owner[once]
-            ends = np.searchsorted(owner, np.arange(n + 1))
-            for salt in salts:
-                h = wh.mix(word ^ salt)
-                h = h[np.lexsort((h, owner))]
-                whose.append(np.arange(n))
-                keys.append(wh.mix(h[ends[:-1]] ^ wh.mix(h[ends[:-1] + (np.diff(ends) > 1)]) ^ salt))
-            who, key = np.concatenate(whose), np.concatenate(keys)
-            order = np.lexsort((key, who))
-            who, key = who[order], key[order]
-            once = np.concatenate(([True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])))
-            who, key = who[once], key[once]
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(n + 1)).astype(np.int32)), pa.array(key.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "words", "keys"])
-
-    return features.select("doc_id", "said").mapInArrow(run, "doc_id long, words array<int>, keys array<long>")
-
-
-def document_links(own: DataFrame, telling: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(a, b, weight): verified links of documents to representatives of their buckets, in both directions, each once."""
-    features = near.kept(bucketed(_said(own, telling)))
-    known = features.select("doc_id", "keys").join(seeds.select("doc_id").distinct().withColumn("seed", F.lit(True)), "doc_id", "left")
-    inside = features.select("doc_id", "words", F.explode("keys").alias("key"))
-    # the least of a hash of the id is as good as a random member; those with a label go first
-    rank = lambda r: F.shiftright(F.xxhash64("doc_id", F.lit(r)), 2) + F.when(F.col("seed"), F.lit(-(1 << 62))).otherwise(F.lit(1 << 61))
-    leads = known.select("doc_id", "seed", F.explode("keys").alias("key")).groupBy("key").agg(*[F.min_by("doc_id", rank(r)).alias(f"r{r}") for r in range(REPRESENTATIVES)], F.count("*").alias("n")).where("n > 1")
-    leads = leads.select("key", F.explode(F.array_distinct(F.array(*[f"r{r}" for r in range(REPRESENTATIVES)]))).alias("b"))
-    leads = leads.join(features.select(F.col("doc_id").alias("b"), F.col("words").alias("others")), "b")
-    met = inside.join(leads, "key").where("doc_id <> b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"), F.size(F.array_intersect("words", "others")).alias("shared"), F.size("words").alias("x"), F.size("others").alias("y"))
-    alike = met.where((F.col("shared") >= SHARED) & (F.col("shared") >= CONTAINED * F.least("x", "y")))
-    links = alike.groupBy("a", "b").agg(F.first(F.pow(F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")), F.lit(2.0))).alias("weight"))
-    return near.kept(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l"), "weight").select("l.a", "l.b", "weight"))
-
-
-def _neighbours(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject, share): the share of each label among a document's neighbours, by the weight of the links."""
-    got = links.join(labels.select(F.col("doc_id").alias("b"), "subject", F.col("weight").alias("w")), "b").groupBy(F.col("a").alias("doc_id"), "subject").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
-    per = got.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "s")).alias("all"), F.sum("s").alias("total"))
-    return per.select("doc_id", F.explode("all").alias("l"), "total").select("doc_id", "l.subject", (F.col("l.s") / F.col("total")).alias("share"))
-
-
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, subject, weight) after ``rounds`` rounds, (doc_id, subject) that a label reaches at last, whatever its share).
+            tiles, kinds = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(tiles)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if tiles[a] != last:
+                    if met:
+                        yield met.rows()
+                    last, asking, met = tiles[a], [], None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    asking.append(part)
+                elif asking:
+                    met = met or _Tile(pa.Table.from_batches(asking).combine_chunks().to_batches()[0], size)
+                    for at in range(0, part.num_rows, CHUNK):
+                        met.meet(part.slice(at, CHUNK), some)
+        if met:
+            yield met.rows()
+
+    # nodes that begin with the same words are compared at once: they share the most, and others can be passed over
+    dealt = sent.repartition(tiles, "tile").sortWithinPartitions("tile", "kind", F.get("words", F.lit(0)), F.get("words", F.lit(1)), "node")
+    linked = near.kept(dealt.mapInArrow(run, "node long, subjects array<int>, sums array<double>"))
+    brought = docs.join(linked, "node").select("doc_id", F.arrays_zip(F.col("subjects").alias("s"), F.col("sums").alias("v")).alias("l"))
+    # documents of one node are linked with weight 1, each with all but itself
+    copies = docs.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(given, "node").select("node", "subject", "w")
+    copies = docs.join(copies, "node").join(labels, ["doc_id", "subject"], "left").select("doc_id", number.alias("s"), F.round(F.col("w") - F.coalesce("weight", F.lit(0.0)), 9).alias("v")).where("v > 0")
+    both = brought.select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.s", "l.v").union(copies)
+    return both.groupBy("doc_id", "s").agg(F.sum("v").alias("v")).select("doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1).alias("subject"), F.col("v").alias("s"))
+
+
+def propagated(docs: DataFrame, nodes: DataFrame, seeds: DataFrame, names: list[str], rounds: int) -> DataFrame:
+    """(doc_id, subject, weight) after ``rounds`` rounds.
 
     Each round a document takes every subject with a share of at least GIVEN_ON among its
     neighbours' labels; a hand-given one stays as long as the share is at least TRUSTED. A
@@ -277,11 +356,13 @@ def propagated(links: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFra
     """
     now = seeds
     for _ in range(rounds):
-        share = _neighbours(links, now).join(seeds.select("doc_id", "subject", F.lit(True).alias("given")), ["doc_id", "subject"], "left")
+        per = neighbours(docs, nodes, now, names).groupBy("doc_id").agg(F.collect_list(F.struct("subject", "s")).alias("all"), F.sum("s").alias("total"))
+        share = per.select("doc_id", F.explode("all").alias("l"), "total").select("doc_id", "l.subject", F.round(F.col("l.s") / F.col("total"), 6).alias("share"))
+        share = share.where(F.col("share") >= min(GIVEN_ON, TRUSTED)).join(seeds.select("doc_id", "subject", F.lit(True).alias("given")), ["doc_id", "subject"], "left")
         held = share.where((F.col("share") >= GIVEN_ON) | (F.col("given") & (F.col("share") >= TRUSTED)))
         per = held.groupBy("doc_id").agg(F.collect_set("subject").alias("all"))
         now = cut(per.select("doc_id", F.explode("all").alias("subject"), (F.lit(1.0) / F.size("all")).alias("weight")))
-    return now, _neighbours(links, now).select("doc_id", "subject")
+    return now
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, rounds: int = 2, least_sentences: int = OWN) -> DataFrame:
@@ -302,11 +383,16 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *,
     with_skips = rows.join(F.broadcast(named) if size <= BROADCAST_LINES else named, F.col("source").eqNullSafe(F.col("skip_source")), "left")
     own = near.kept(own_words(with_skips).repartition("doc_id"))  # from here on joins by document move no words
     seeds = cut(_seeds(labels, subjects))
-    links = document_links(own, _tell(own, seeds, SEED_SUPPORT), seeds)
-    now, reached = propagated(links, seeds, rounds)
-    n = _support(own, _tell(own, now, SUPPORT)).where(F.col("n") >= min(least_sentences, CLAMPED))
-    known = reached.withColumn("given", F.lit(False)).union(seeds.select("doc_id", "subject", F.lit(True))).groupBy("doc_id", "subject").agg(F.max("given").alias("given"))
-    return n.join(known, ["doc_id", "subject"]).where((F.col("n") >= least_sentences) | (F.col("given") & (F.col("n") >= CLAMPED))).select("doc_id", "subject")
+    names = sorted(r[0] for r in seeds.select("subject").distinct().collect())
+    if not names:
+        return seeds.select("doc_id", "subject")
+    docs, nodes = _nodes(telling_sets(own, _tell(own, seeds, SEED_SUPPORT)))
+    now = propagated(docs, nodes, seeds, names, rounds)
+    n = cut(_support(own, _tell(own, now, SUPPORT)).where(F.col("n") >= min(least_sentences, CLAMPED)))
+    given = n.join(seeds.select("doc_id", "subject"), ["doc_id", "subject"], "left_semi").select("doc_id", "subject")
+    asked = n.where(F.col("n") >= least_sentences).select("doc_id", "subject").join(given, ["doc_id", "subject"], "left_anti")
+    reached = neighbours(docs, nodes, now, names, asked).select("doc_id", "subject")
+    return given.union(asked.join(reached, ["doc_id", "subject"], "left_semi"))
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain definition, on the smallest data."""
 
 import collections
+import random
 import re
 
 import duckdb
@@ -184,6 +185,38 @@ def test_subjects_agree_with_held_out_labels(spark):
     assert sum(len(got[d]) for d in {d for d, _ in every}) <= 1.25 * len(every)
 
 
+@pytest.mark.parametrize("wrong", range(1, 5))
+def test_subjects_come_from_every_document_that_is_alike(spark, wrong):
+    # five documents that share all their words; one of the four labels is wrong, whichever it is
+    text = "\n".join(f"anchor ballast capstan derrick fairlead gunwale {k}." for k in range(4))
+    docs = [(i, f"s{i}", text) for i in range(5)]
+    labels = [(i, "mines" if i == wrong else "ships", "x") for i in range(1, 5)]
+    docs, labels, names = spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(labels, "doc_id long, subject string, labeler string"), spark.createDataFrame([("ships",), ("mines",)], "subject string")
+    assert (0, "ships") in {tuple(r) for r in subjects.subjects_of(docs, labels, names, rounds=0).collect()}
+
+
+@pytest.mark.parametrize("least, wanted", [(512, False), (7, False), (7, True)])
+def test_every_two_documents_with_enough_in_common_are_linked(spark, monkeypatch, least, wanted):
+    rng = random.Random(5)
+    monkeypatch.setattr(subjects, "CHUNK", least)
+    sets = {i: sorted(rng.sample(range(40), rng.choice([1, 2, 3, 8, 30]))) for i in range(120)} | {i: [3, 4, 9] for i in range(120, 130)}
+    given = {(i, rng.choice("abc")): rng.choice([1.0, 0.5]) for i in range(0, 130, 2)}
+    full = collections.defaultdict(float)
+    for a, x in sets.items():
+        for (b, subject), w in given.items():
+            shared = len({*x} & {*sets[b]})
+            if a != b and shared >= 2 and shared >= 0.15 * min(len(x), len(sets[b])):
+                full[a, subject] += w * (shared / len({*x} | {*sets[b]})) ** 2
+    docs, nodes = subjects._nodes(spark.createDataFrame([*sets.items()], "doc_id long, words array<int>"))
+    labels = spark.createDataFrame([(*k, w) for k, w in given.items()], "doc_id long, subject string, weight double")
+    asked = spark.createDataFrame([(i, s) for i in range(0, 130, 3) for s in "ab"], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject): r.s for r in subjects.neighbours(docs, nodes, labels, [*"abc"], asked if wanted else None).collect()}
+    if wanted:
+        assert {k for k in full if k[0] % 3 == 0 and k[1] != "c"} == {k for k in got if k[0] % 3 == 0 and k[1] != "c"}
+    else:
+        assert got == pytest.approx(full, rel=1e-5) and len({len(x) for x in sets.values()}) > 4
+
+
 def test_subjects_with_many_telling_words_are_joined(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     docs, labels, names = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "subject_labels", "subjects"))
