@@ -35,8 +35,10 @@ SEED_SUPPORT, SUPPORT, AGREEMENT = 2, 3, 0.6
 SHARED, CONTAINED = 2, 0.15
 #: A label's share among a document's neighbours that gives it to the document; that keeps a hand-given one.
 GIVEN_ON, TRUSTED = 0.25, 0.15
+#: A word goes into the matrix product of two chunks if at least one in so many of their pairs of nodes share it; else its pairs are counted one by one.
+RARE = 200
 #: Nodes of a tile, at most, and its nodes times subjects (8 bytes each); tiles for each core where there are fewer nodes; nodes compared at once.
-TILE, CELLS, TILES, CHUNK = 131_072, 8_000_000, 2, 512
+TILE, CELLS, TILES, CHUNK = 131_072, 8_000_000, 2, 768
 #: Line hashes of all sources that are broadcast together, at most (8 bytes each); beyond it they are joined with a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -218,7 +220,7 @@ class _Tile:
         self.wanted = np.zeros((len(self.node), n_subjects), bool)
         self.wanted[np.repeat(np.arange(len(self.node)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()] = True
         self.by_node = np.argsort(self.node)
-        self.room = [np.empty(CHUNK * CHUNK, np.float32) for _ in range(2)]
+        self.room = [np.empty(CHUNK * CHUNK, kind) for kind in (np.float32, np.float32, np.float32, bool)]
         self.chunks = [(a, min(a + CHUNK, len(self.node))) for a in range(0, len(self.node), CHUNK)]
         self.here = np.zeros((len(self.chunks), len(self.known)), bool)
         for c, (a, b) in enumerate(self.chunks):
@@ -238,6 +240,7 @@ class _Tile:
         node = rows.column("node").to_numpy()
         same = self.by_node[np.minimum(np.searchsorted(self.node, node, sorter=self.by_node), len(self.node) - 1)]
         same[self.node[same] != node] = -1
+        every = np.ones(len(size), bool)
         for c, (a, b) in enumerate(self.chunks):
             both = self.here[c] & there
             if np.count_nonzero(both) < SHARED:
@@ -246,12 +249,12 @@ class _Tile:
             if not asking.any():
                 continue
             mine = self.ends[a : b + 1]
-            i, x = _dense(np.repeat(np.arange(b - a), np.diff(mine)), self.code[mine[0] : mine[-1]], both, asking)
-            j, y = _dense(owner, code, both, np.ones(len(size), bool))
+            i, *x = _picked(np.repeat(np.arange(b - a), np.diff(mine)), self.code[mine[0] : mine[-1]], both, asking)
+            j, *y = _picked(owner, code, both, every)
             if not len(i) or not len(j):
                 continue
-            shared, weight = (r[: len(i) * len(j)].reshape(len(i), len(j)) for r in self.room)
-            np.matmul(x, y.T, out=shared)
+            shared, weight, least, enough = (r[: len(i) * len(j)].reshape(len(i), len(j)) for r in self.room)
+            _count(*x, *y, shared)
             n, m = np.diff(mine)[i], size[j]
             np.add.outer(n.astype(np.float32), m.astype(np.float32), out=weight)
             weight -= shared
@@ -259,7 +262,7 @@ class _Tile:
             weight *= weight
             # a share of the smaller set is the smaller share
             n, m = (np.maximum(CONTAINED * k - 1e-6, SHARED).astype(np.float32) for k in (n, m))
-            weight *= shared >= np.minimum.outer(n, m)
+            weight *= np.greater_equal(shared, np.minimum.outer(n, m, out=least), out=enough)
             for k in np.flatnonzero((same[j] >= a) & (same[j] < b)):  # a node is no neighbour of itself
                 weight[i == same[j[k]] - a, k] = 0
             self.sums[a + i] += weight @ labels[j]
@@ -271,18 +274,35 @@ class _Tile:
         return pa.RecordBatch.from_arrays([pa.array(self.node[each]), pa.ListArray.from_arrays(ends, pa.array(subject.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(self.sums[who, subject]))], names=["node", "subjects", "sums"])
 
 
-def _dense(owner: np.ndarray, code: np.ndarray, among: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, matrix) of the rows asking that have at least SHARED words of those in ``among``: 1 where a row has the word."""
+def _picked(owner: np.ndarray, code: np.ndarray, among: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, place in rows and word, one each for every word of them in ``among``) of the rows asking that have at least SHARED words of those; words are numbered afresh."""
     hit = among[code] & asking[owner]
     owner, code = owner[hit], code[hit]
-    count = np.bincount(owner, minlength=len(asking))
-    use = np.flatnonzero(count >= SHARED)
+    use = np.flatnonzero(np.bincount(owner, minlength=len(asking)) >= SHARED)
     row = np.full(len(asking), -1)
     row[use] = np.arange(len(use))
-    hit = row[owner] >= 0
-    out = np.zeros((len(use), np.count_nonzero(among)), np.float32)
-    out[row[owner[hit]], (np.cumsum(among) - 1)[code[hit]]] = 1
-    return use, out
+    owner = row[owner]
+    return use, owner[owner >= 0], (np.cumsum(among) - 1)[code[owner >= 0]]
+
+
+def _count(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+    """``out``: how many words the rows share; row i has word x, column j has word y. Common words are counted by a matrix product, rare ones pair by pair."""
+    size = max(x.max(), y.max()) + 1
+    each = np.bincount(y, minlength=size)
+    pairs = np.bincount(x, minlength=size) * each
+    often = pairs * RARE >= out.size
+    place, n = np.cumsum(often) - 1, np.count_nonzero(often)
+    sides = []
+    for row, word, rows in ((i, x, out.shape[0]), (j, y, out.shape[1])):
+        hit = often[word]
+        sides.append(np.zeros((rows, n), np.float32))
+        sides[-1][row[hit], place[word[hit]]] = 1
+    np.matmul(sides[0], sides[1].T, out=out)
+    (i, x), (j, y) = ((row[~often[word]], word[~often[word]]) for row, word in ((i, x), (j, y)))
+    each[often] = 0
+    n, start = each[x], np.cumsum(each) - each
+    at = np.arange(n.sum()) + np.repeat(start[x] - np.cumsum(n) + n, n)
+    np.add.at(out.reshape(-1), np.repeat(i, n) * out.shape[1] + j[np.argsort(y, kind="stable")][at], np.float32(1))
 
 
 def _nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

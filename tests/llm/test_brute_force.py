@@ -195,10 +195,12 @@ def test_subjects_come_from_every_document_that_is_alike(spark, wrong):
     assert (0, "ships") in {tuple(r) for r in subjects.subjects_of(docs, labels, names, rounds=0).collect()}
 
 
-@pytest.mark.parametrize("least, wanted", [(512, False), (7, False), (7, True)])
-def test_every_two_documents_with_enough_in_common_are_linked(spark, monkeypatch, least, wanted):
+@pytest.mark.parametrize("chunk, wanted", [(768, False), (7, False), (7, True)])
+@pytest.mark.parametrize("rare", [0, 3, 10**9])
+def test_every_two_documents_with_enough_in_common_are_linked(spark, monkeypatch, chunk, wanted, rare):
     rng = random.Random(5)
-    monkeypatch.setattr(subjects, "CHUNK", least)
+    monkeypatch.setattr(subjects, "CHUNK", chunk)
+    monkeypatch.setattr(subjects, "RARE", rare)
     sets = {i: sorted(rng.sample(range(40), rng.choice([1, 2, 3, 8, 30]))) for i in range(120)} | {i: [3, 4, 9] for i in range(120, 130)}
     given = {(i, rng.choice("abc")): rng.choice([1.0, 0.5]) for i in range(0, 130, 2)}
     full = collections.defaultdict(float)
