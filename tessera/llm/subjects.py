@@ -14,12 +14,14 @@ propagated labels.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import near
@@ -39,66 +41,109 @@ GIVEN_ON, TRUSTED = 0.25, 0.15
 RARE = 200
 #: Nodes of a tile, at most, and its nodes times subjects (8 bytes each); tiles for each core where there are fewer nodes; nodes compared at once.
 TILE, CELLS, TILES, CHUNK = 131_072, 8_000_000, 2, 768
+#: Rows of two chunks' links that are weighed at once.
+STRIP = 64
+#: What a node does in a tile.
+ASK, GIVE, BOTH = 0, 1, 2
 #: Line hashes of all sources that are broadcast together, at most (8 bytes each); beyond it they are joined with a shuffle.
 BROADCAST_LINES = 1_000_000
 
 _QUOTES = re.compile(r"[“„][^“”„\n]+[”“]|«[^«»\n]+»|[“„][^“”„\f]+[”“]")
 
+#: What a character is to a sentence's end.
+_MARK, _CLOSING, _SPACE = 1, 2, 3
+
+
+def _kind(c: str) -> int:
+    return _MARK if c in ".!?…" else _CLOSING if c in "\"'”’»)]" else _SPACE if c.isspace() else 0
+
 
 def _skips(documents: DataFrame, least_documents: int = 3, least_share: float = 0.05) -> DataFrame:
-    """(source, skip): the hashes of the lines that a source repeats."""
+    """(source, skip): the hashes of the lines that a source repeats. A document is in ``documents`` once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for at, some in near.slices(texts):
                 h, owner, _, _ = wh.lines(some)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + owner]), batch.column(2).take(pa.array(at + owner)), pa.array(h.view(np.int64))], names=["doc_id", "source", "h"])
-
-    total = documents.select("doc_id", "source").distinct().groupBy("source").agg(F.count("*").alias("total"))
-    lines = documents.select("doc_id", "text", "source").where("text is not null").mapInArrow(run, "doc_id long, source string, h long")
-    often = lines.distinct().groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents)
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                once = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
+                h, owner = h[once], owner[once]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at + owner)), pa.array(h.view(np.int64))], names=["source", "h"])
+
+    total = documents.groupBy("source").agg(F.count("*").alias("total"))
+    lines = documents.select("text", "source").where("text is not null").mapInArrow(run, "source string, h long")
+    often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents)
     kept = often.join(total, often["source"].eqNullSafe(total["source"])).where(F.col("n") >= least_share * F.col("total")).select(often["source"], "h")
     return cut(kept.groupBy("source").agg(F.collect_set("h").alias("skip")))  # under 1 / least_share times the lines of a document
 
 
-def _sentence_ends(low: str) -> list[int]:
-    """Where sentences of a lower-cased text end; only after a short word or an abbreviation are the full rules asked."""
-    out = []
-    for m in _END.finditer(low):
-        at = m.start()
-        word = low[low.rfind(" ", max(0, at - 24), at) + 1 if at else 0 : at][-24:]
-        if not word.isalnum():
-            word = (word.split() or [""])[-1].lstrip("([{\"'“„«")
-        if (len(word) > 1 and word not in ABBREVIATIONS) or _ends_sentence(low, m):
-            out.append(m.end())
-    return out
+def _ends_here(low: str, m: re.Match) -> bool:
+    """Whether a sentence of a lower-cased text ends at this mark; only after a short word or an abbreviation are the full rules asked."""
+    at = m.start()
+    word = low[low.rfind(" ", max(0, at - 24), at) + 1 if at else 0 : at][-24:]
+    if not word.isalnum():
+        word = (word.split() or [""])[-1].lstrip("([{\"'“„«")
+    return (len(word) > 1 and word not in ABBREVIATIONS) or _ends_sentence(low, m)
+
+
+@cache
+def _tails() -> np.ndarray:
+    """The last words of abbreviations."""
+    h, owner, _, _ = wh.words(sorted(ABBREVIATIONS))
+    return h[np.append(owner[1:] != owner[:-1], True)]
+
+
+def _sentence_ends(low: list[str], laid: tuple[np.ndarray, np.ndarray], h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where sentences of lower-cased texts end, as places in ``laid``. h, start, end: the texts' words, by place.
+
+    Marks are found for all texts at once, as ``_END`` finds them. One that follows a word of two characters or
+    more, with which no abbreviation ends, ends a sentence; the rules are asked about the others only.
+    """
+    codes, first = laid
+    kind = np.append(wh.kinds("ends", _kind)[codes], _SPACE)
+    at = np.flatnonzero((kind == _MARK) | (kind == _CLOSING))
+    is_mark, place = kind[at] == _MARK, np.arange(len(at))
+    mark = np.maximum.accumulate(np.where(is_mark, place, -1)) if len(at) else place  # the last up to here
+    starts = is_mark & np.append(True, ~is_mark[:-1] | (np.diff(at) > 1))[: len(at)]
+    begin = at[np.maximum.accumulate(np.where(starts, place, 0))[mark]] if len(at) else at
+    ends = np.flatnonzero((kind[at + 1] == _SPACE) & (mark >= 0) & (at - at[mark] == place - mark))
+    at, begin = at[ends] + 1, begin[ends]
+    word = np.minimum(np.searchsorted(end, begin), max(len(end) - 1, 0))
+    sure = (end[word] == begin) & (end[word] - start[word] > 1) & ~np.isin(h[word], _tails()) if len(end) else np.zeros(len(at), bool)
+    for k in np.flatnonzero(~sure):
+        i = np.searchsorted(first, begin[k], side="right") - 1
+        sure[k] = _ends_here(low[i], _END.match(low[i], begin[k] - first[i]))
+    return at[sure]
 
 
 def _own_words(texts: list[str | None], skips: list[set[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, number of text, number of sentence in the text) of the words with letters only in the texts' own sentences."""
     low = [t.lower() if t else "" for t in texts]
-    h, owner, start, end = wh.words(low)
-    keep = wh.only_letters(low, owner, start, end) & (end - start > 2)
-    line_h, line_owner, line_start, line_end = wh.lines(low)
+    laid = wh.laid_out(low)
+    h, owner, start, end = wh.words(low, laid)
+    if not len(h):
+        return h, owner, start
+    keep = wh.only_letters(low, owner, start, end, laid) & (end - start > 2)
+    line_h, line_owner, line_start, line_end = wh.lines(low, laid)
     line_cuts = np.searchsorted(line_owner, np.arange(len(low) + 1))
-    sentence = np.zeros(len(h), np.int64)
     cuts = np.searchsorted(owner, np.arange(len(low) + 1))
+    first = laid[1]
+    edges = np.sort(np.concatenate((first[line_owner] + line_start, _sentence_ends(low, laid, h, first[owner] + start, first[owner] + end))))
+    sentence = np.searchsorted(edges, first[owner] + start, side="right") - np.searchsorted(edges, first)[owner]
     for i, t in enumerate(low):
         a, b = cuts[i], cuts[i + 1]
         if a == b:
             continue
         drop = [m.span() for m in _QUOTES.finditer(t)] if any(q in t for q in "“„«") else []
-        own = slice(line_cuts[i], line_cuts[i + 1])
-        edges = line_start[own].tolist()
         if skips[i]:
-            drop += [(x, y) for g, x, y in zip(line_h[own].view(np.int64).tolist(), edges, line_end[own].tolist()) if g in skips[i]]
-        edges += _sentence_ends(t)
-        edges.sort()
-        s = start[a:b]
-        sentence[a:b] = np.searchsorted(edges, s, side="right")
-        for x, y in drop:
-            keep[a + np.searchsorted(s, x) : a + np.searchsorted(s, y)] = False
+            own = slice(line_cuts[i], line_cuts[i + 1])
+            drop += [(x, y) for g, x, y in zip(line_h[own].view(np.int64).tolist(), line_start[own].tolist(), line_end[own].tolist()) if g in skips[i]]
+        if drop:
+            x, y = np.searchsorted(start[a:b], np.array(drop).T)
+            for x, y in zip((a + x).tolist(), (a + y).tolist()):
+                keep[x:y] = False
     return h[keep], owner[keep], sentence[keep]
 
 
@@ -133,11 +178,11 @@ def _seeds(labels: DataFrame, subjects: DataFrame) -> DataFrame:
     return votes.join(total, "doc_id").select("doc_id", "subject", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def _tell(own: DataFrame, labels: DataFrame, support: int) -> DataFrame:
+def _tell(own: DataFrame, labels: DataFrame, names: list[str], support: int) -> DataFrame:
     """(word, subject, weight, n): the words whose labelled documents agree on a subject, verified, and the number of these documents. labels: (doc_id, subject, weight)."""
-    met = own.join(labels, "doc_id").select(F.explode(F.array_distinct("words")).alias("word"), "subject", "weight").groupBy("word", "subject").agg(F.sum("weight").alias("w"))
-    best = met.groupBy("word").agg(F.sum("w").alias("n"), F.max(F.struct("w", "subject")).alias("top"))
-    return cut(best.where((F.col("n") >= support - 1e-9) & (F.col("top.w") >= (AGREEMENT - 1e-9) * F.col("n"))).select("word", F.col("top.subject").alias("subject"), (F.col("top.w") / F.col("n")).alias("weight"), "n"))
+    met = own.join(labels.select("doc_id", _number(names).alias("s"), "weight"), "doc_id").select(F.explode(F.array_distinct("words")).alias("word"), "s", "weight").groupBy("word", "s").agg(F.sum("weight").alias("w"))
+    best = met.groupBy("word").agg(F.sum("w").alias("n"), F.max(F.struct("w", "s")).alias("top"))  # names are in order
+    return cut(best.where((F.col("n") >= support - 1e-9) & (F.col("top.w") >= (AGREEMENT - 1e-9) * F.col("n"))).select("word", _named(names, "top.s").alias("subject"), (F.col("top.w") / F.col("n")).alias("weight"), "n"))
 
 
 def telling_sets(own: DataFrame, telling: DataFrame) -> DataFrame:
@@ -209,39 +254,44 @@ def _support(own: DataFrame, telling: DataFrame) -> DataFrame:
 
 
 class _Tile:
-    """Sums over the links of some nodes, its rows, to all nodes that it meets."""
+    """Sums over the links of some nodes, its rows, to all nodes that it meets. With ``mutual`` the rows have labels, which they give to the nodes they meet."""
 
-    def __init__(self, rows: pa.RecordBatch, n_subjects: int) -> None:
+    def __init__(self, rows: pa.RecordBatch, n_subjects: int, mutual: bool) -> None:
         self.node = rows.column("node").to_numpy()
-        words, wanted = rows.column("words"), rows.column("subjects")
+        words, subjects = rows.column("words"), rows.column("subjects")
         self.ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         self.known, self.code = np.unique(words.flatten().to_numpy(), return_inverse=True)
         self.sums = np.zeros((len(self.node), n_subjects))
-        self.wanted = np.zeros((len(self.node), n_subjects), bool)
-        self.wanted[np.repeat(np.arange(len(self.node)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()] = True
+        self.labels = _matrix(rows, n_subjects) if mutual else None
+        self.wanted = np.zeros((len(self.node), 0 if mutual else n_subjects), bool)
+        if not mutual:
+            self.wanted[np.repeat(np.arange(len(self.node)), np.diff(subjects.offsets.to_numpy())), subjects.flatten().to_numpy()] = True
         self.by_node = np.argsort(self.node)
-        self.room = [np.empty(CHUNK * CHUNK, kind) for kind in (np.float32, np.float32, np.float32, bool)]
+        self.room = [np.empty(CHUNK * n, kind) for n, kind in ((CHUNK, np.float32), (STRIP, np.float32), (STRIP, np.float32), (STRIP, bool))]
         self.chunks = [(a, min(a + CHUNK, len(self.node))) for a in range(0, len(self.node), CHUNK)]
         self.here = np.zeros((len(self.chunks), len(self.known)), bool)
         for c, (a, b) in enumerate(self.chunks):
             self.here[c, self.code[self.ends[a] : self.ends[b]]] = True
 
-    def meet(self, rows: pa.RecordBatch, some: bool) -> None:
-        """Adds what the labels of ``rows``, at most CHUNK, bring; if ``some``, only to nodes with a wanted subject that nothing has brought yet."""
-        words, subjects = rows.column("words"), rows.column("subjects")
+    def meet(self, rows: pa.RecordBatch, some: bool, own: int | None = None) -> np.ndarray:
+        """Adds what the labels of ``rows``, at most CHUNK, bring; if ``some``, only to nodes with a wanted subject that nothing has brought yet.
+
+        Gives the sums of what the tile's labels, if it has any, bring to ``rows``. With ``own``, rows are the
+        tile's own chunk of this number, and meet themselves and the chunks before them.
+        """
+        words = rows.column("words")
         size, flat = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
         at = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
         hit = self.known[at] == flat
         code, owner = at[hit], np.repeat(np.arange(len(size)), size)[hit]
         there = np.zeros(len(self.known), bool)
         there[code] = True
-        labels = np.zeros((len(size), self.sums.shape[1]), np.float32)
-        labels[np.repeat(np.arange(len(size)), np.diff(subjects.offsets.to_numpy())), subjects.flatten().to_numpy()] = rows.column("weights").flatten().to_numpy()
+        labels = _matrix(rows, self.sums.shape[1])
         node = rows.column("node").to_numpy()
         same = self.by_node[np.minimum(np.searchsorted(self.node, node, sorter=self.by_node), len(self.node) - 1)]
         same[self.node[same] != node] = -1
-        every = np.ones(len(size), bool)
-        for c, (a, b) in enumerate(self.chunks):
+        every, back = np.ones(len(size), bool), np.zeros((len(size), self.sums.shape[1]))
+        for c, (a, b) in enumerate(self.chunks if own is None else self.chunks[: own + 1]):
             both = self.here[c] & there
             if np.count_nonzero(both) < SHARED:
                 continue
@@ -253,25 +303,90 @@ class _Tile:
             j, *y = _picked(owner, code, both, every)
             if not len(i) or not len(j):
                 continue
-            shared, weight, least, enough = (r[: len(i) * len(j)].reshape(len(i), len(j)) for r in self.room)
-            _count(*x, *y, shared)
-            n, m = np.diff(mine)[i], size[j]
-            np.add.outer(n.astype(np.float32), m.astype(np.float32), out=weight)
-            weight -= shared
-            np.divide(shared, weight, out=weight)
-            weight *= weight
-            # a share of the smaller set is the smaller share
-            n, m = (np.maximum(CONTAINED * k - 1e-6, SHARED).astype(np.float32) for k in (n, m))
-            weight *= np.greater_equal(shared, np.minimum.outer(n, m, out=least), out=enough)
+            weight = self.room[0][: len(i) * len(j)].reshape(len(i), len(j))
+            _count(*x, *y, weight)
+            self._weigh(weight, np.diff(mine)[i], size[j])
             for k in np.flatnonzero((same[j] >= a) & (same[j] < b)):  # a node is no neighbour of itself
                 weight[i == same[j[k]] - a, k] = 0
             self.sums[a + i] += weight @ labels[j]
+            if self.labels is not None and c != own:
+                back[j] += weight.T @ self.labels[a + i]
+        return back
+
+    def _weigh(self, shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
+        """Makes the numbers of words that nodes of n and of m words share the weights of their links, some rows at once that stay in the processor's cache."""
+        # a share of the smaller set is the smaller share
+        n_least, m_least = (np.maximum(CONTAINED * k - 1e-6, SHARED).astype(np.float32) for k in (n, m))
+        n, m = n.astype(np.float32), m.astype(np.float32)
+        for a in range(0, len(n), STRIP):
+            part = shared[a : a + STRIP]
+            weight, least, enough = (r[: part.size].reshape(part.shape) for r in self.room[1:])
+            np.greater_equal(part, np.minimum.outer(n_least[a : a + STRIP], m_least, out=least), out=enough)
+            np.add.outer(n[a : a + STRIP], m, out=weight)
+            weight -= part
+            np.divide(part, weight, out=weight)
+            weight *= weight
+            np.multiply(weight, enough, out=part)
+
+    def meet_itself(self, rows: pa.RecordBatch) -> None:
+        """Adds what the labels of ``rows``, which are the tile's, bring to each other."""
+        for c, (a, b) in enumerate(self.chunks):
+            self.sums[a:b] += self.meet(rows.slice(a, b - a), False, c)
+
+
+def _matrix(rows: pa.RecordBatch, n_subjects: int) -> np.ndarray:
+    """The labels of each row."""
+    subjects = rows.column("subjects")
+    labels = np.zeros((rows.num_rows, n_subjects), np.float32)
+    labels[np.repeat(np.arange(rows.num_rows), np.diff(subjects.offsets.to_numpy())), subjects.flatten().to_numpy()] = rows.column("weights").flatten().to_numpy()
+    return labels
 
-    def rows(self) -> pa.RecordBatch:
-        who, subject = np.nonzero(self.sums)
-        each = np.flatnonzero(np.bincount(who, minlength=len(self.node)))
-        ends = pa.array(np.concatenate((np.searchsorted(who, each), [len(who)])).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(self.node[each]), pa.ListArray.from_arrays(ends, pa.array(subject.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(self.sums[who, subject]))], names=["node", "subjects", "sums"])
+
+def _listed(name: str, ids: np.ndarray, sums: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """(name, subjects, sums) of the rows with any sum."""
+    who, subject = np.nonzero(sums)
+    each = np.flatnonzero(np.bincount(who, minlength=len(ids)))
+    ends = pa.array(np.concatenate((np.searchsorted(who, each), [len(who)])).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids[each]), pa.ListArray.from_arrays(ends, pa.array(subject.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(sums[who, subject]).cast(kind))], names=[name, "subjects", "sums"])
+
+
+def _tiled(batches: Iterator[pa.RecordBatch], n_subjects: int, some: bool, mutual: bool) -> Iterator[pa.RecordBatch]:
+    """(node, subjects, sums): what the rows of each tile that GIVE bring to those that ASK, and with ``mutual`` also these to those; what rows that do BOTH bring to each other. Rows of a kind come together, those that ASK first."""
+    last, asking, met = None, [], None
+    for batch in batches:
+        tiles, kinds = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
+        edges = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(tiles)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if tiles[a] != last:
+                yield from _ended(met, asking, n_subjects)
+                last, asking, met = tiles[a], [], None
+            part = batch.slice(a, b - a)
+            if kinds[a] != GIVE:
+                asking.append(part)
+            elif asking:
+                met = met or _Tile(_joined(asking), n_subjects, mutual)
+                for at in range(0, part.num_rows, CHUNK):
+                    some_rows = part.slice(at, CHUNK)
+                    back = met.meet(some_rows, some)
+                    if mutual:
+                        yield _listed("node", some_rows.column("node").to_numpy(), back, pa.float32())
+    yield from _ended(met, asking, n_subjects)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _ended(met: _Tile | None, asking: list[pa.RecordBatch], n_subjects: int) -> Iterator[pa.RecordBatch]:
+    """The sums of a tile's own rows."""
+    if asking and asking[0].column("kind")[0].as_py() == BOTH:
+        rows = _joined(asking)
+        met = _Tile(rows, n_subjects, True)
+        met.meet_itself(rows)
+    if met:
+        yield _listed("node", met.node, met.sums, pa.float32())
 
 
 def _picked(owner: np.ndarray, code: np.ndarray, among: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,60 +426,100 @@ def _nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("doc_id", "node"), near.kept(named.groupBy("node").agg(F.first("words").alias("words")))
 
 
-def neighbours(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, subject, s): the weights of the links of each document to documents with a label, by subject, each times the label's weight.
+def _number(names: list[str]) -> Column:
+    return (F.array_position(F.array(*map(F.lit, names)), F.col("subject")) - 1).cast("int")
 
-    docs, nodes: as given by ``_nodes``; labels: (doc_id, subject, weight). With ``wanted``
-    (doc_id, subject) only documents in it ask, and of their sums only those of wanted
-    subjects are sure to be there, and only to be above 0 where they are so in whole.
+
+def _named(names: list[str], number: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col(number) + 1)
+
+
+def _dealt(nodes: DataFrame, per: DataFrame, asks: DataFrame | None, n_subjects: int) -> tuple[DataFrame, bool]:
+    """((tile, kind, node, words, subjects, weights) laid out by tile, whether tiles are mutual).
+
+    per: (node, subjects, weights), the labels; asks: (node, words, subjects), if not all nodes
+    ask. Where all ask and most have labels, nodes are dealt to groups and a tile is two groups,
+    or one, so that any two nodes meet once and give each other their labels. Else a tile
+    is a part of the nodes that ask, and all with labels go to each.
     """
-    spark, number = docs.sparkSession, (F.array_position(F.array(*map(F.lit, names)), F.col("subject")) - 1).cast("int")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    given = docs.join(labels, "doc_id").groupBy("node", "subject").agg(F.sum("weight").alias("w"))
-    per = near.kept(given.groupBy("node").agg(F.collect_list(F.struct(number.alias("s"), "w")).alias("of")).select("node", F.col("of.s").alias("subjects"), F.col("of.w").alias("weights")))
-    asks = nodes.withColumn("subjects", none("int"))
-    if wanted is not None:
-        asks = nodes.join(docs.join(wanted, "doc_id").groupBy("node").agg(F.collect_set(number).alias("subjects")), "node")
+    spark, none = nodes.sparkSession, lambda kind: F.array().cast(f"array<{kind}>")
     n = nodes.count()
-    tiles = max(1, -(-n // max(1, min(TILE, CELLS // len(names)))), min(-(-n // CHUNK), TILES * spark.sparkContext.defaultParallelism))
+    mutual = asks is None and 2 * per.count() > n
+    least = -(-n // max(1, min(TILE, CELLS // n_subjects)))
+    most = min(-(-n // CHUNK), TILES * spark.sparkContext.defaultParallelism)
+    groups = max(1, least, math.isqrt(2 * most) if mutual else most)
+    tiles = groups * (groups + 1) // 2 if mutual else groups
     # numbers of tiles of which each is in another partition
     keys = [r[0] for r in spark.range(64 * tiles).groupBy(F.pmod(F.hash("id"), F.lit(tiles)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").select("id").collect()]
-    tile = F.array(*map(F.lit, keys)).cast("array<bigint>")
-    sent = asks.select(F.element_at(tile, (F.pmod(F.col("node"), F.lit(len(keys))) + 1).cast("int")).alias("tile"), F.lit(0).alias("kind"), "node", "words", "subjects", none("double").alias("weights"))
-    sent = sent.union(nodes.join(per, "node").select(F.explode(tile).alias("tile"), F.lit(1), "node", "words", "subjects", "weights"))
-    size, some = len(names), wanted is not None
+    tile, group = F.array(*map(F.lit, keys)).cast("array<bigint>"), F.pmod(F.col("node"), F.lit(groups)).cast("int")
+    if mutual:
+        met = nodes.join(per, "node", "left").select("node", "words", F.coalesce("subjects", none("int")).alias("subjects"), F.coalesce("weights", none("double")).alias("weights"), group.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("y"))
+        lo, hi = F.least("x", "y"), F.greatest("x", "y")
+        kind = F.when(F.col("x") == F.col("y"), BOTH).when(F.col("x") < F.col("y"), ASK).otherwise(GIVE)
+        sent = met.select(F.element_at(tile, (hi * (hi + 1) / 2 + lo + 1).cast("int")).alias("tile"), kind.alias("kind"), "node", "words", "subjects", "weights")
+    else:
+        asks = asks if asks is not None else nodes.withColumn("subjects", none("int"))
+        sent = asks.select(F.element_at(tile, group + 1).alias("tile"), F.lit(ASK).alias("kind"), "node", "words", "subjects", none("double").alias("weights"))
+        sent = sent.union(nodes.join(per, "node").select(F.explode(tile).alias("tile"), F.lit(GIVE), "node", "words", "subjects", "weights"))
+    # nodes that begin with the same words are compared at once: they share the most, and others can be passed over
+    return sent.repartition(tiles, "tile").sortWithinPartitions("tile", "kind", F.get("words", F.lit(0)), F.get("words", F.lit(1)), "node"), mutual
+
+
+def _by_document(rows: DataFrame, n_subjects: int) -> DataFrame:
+    """(doc_id, subjects, sums, total): the sums of each document's node, and what other documents of the same node bring. rows: (node, doc_id, subjects, sums), doc_id null for a part of the node's sums; else the document and its own labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, asking, met = None, [], None
-        for batch in batches:
-            tiles, kinds = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
-            edges = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(tiles)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if tiles[a] != last:
-                    if met:
-                        yield met.rows()
-                    last, asking, met = tiles[a], [], None
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    asking.append(part)
-                elif asking:
-                    met = met or _Tile(pa.Table.from_batches(asking).combine_chunks().to_batches()[0], size)
-                    for at in range(0, part.num_rows, CHUNK):
-                        met.meet(part.slice(at, CHUNK), some)
-        if met:
-            yield met.rows()
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = _joined(parts)
+        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy(), kind="stable")))
+        node = rows.column("node").to_numpy()
+        _, place = np.unique(node, return_inverse=True)
+        step = max(1, CELLS // n_subjects)
+        for at in range(0, place[-1] + 1, step):
+            a, b = np.searchsorted(place, [at, at + step])
+            some, own = rows.slice(a, b - a), place[a:b] - at
+            is_doc = ~np.asarray(some.column("doc_id").is_null())
+            size = np.diff(some.column("subjects").offsets.to_numpy())
+            cell = np.repeat(own, size) * n_subjects + some.column("subjects").flatten().to_numpy()
+            value, of_doc = some.column("sums").flatten().to_numpy().astype(float), np.repeat(is_doc, size)
+            brought, labels = (np.bincount(cell[k], value[k], minlength=(own[-1] + 1) * n_subjects).reshape(-1, n_subjects) for k in (~of_doc, of_doc))
+            who = np.flatnonzero(is_doc)
+            mine = np.zeros((len(some), n_subjects))
+            mine[np.repeat(np.arange(len(some)), size)[of_doc], some.column("subjects").flatten().to_numpy()[of_doc]] = value[of_doc]
+            # documents of one node are linked with weight 1, each with all but itself
+            sums = brought[own[who]] + np.maximum(np.round(labels[own[who]] - mine[who], 9), 0)
+            listed = _listed("doc_id", some.column("doc_id").take(pa.array(who)).to_numpy(), sums, pa.float64())
+            yield listed.append_column("total", pa.array(sums[sums.any(1)].sum(1)))
+
+    return rows.repartition("node").mapInArrow(run, "doc_id long, subjects array<int>, sums array<double>, total double")
+
+
+def _brought(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subjects, sums, total) of ``neighbours``, by number of subject."""
+    given = docs.join(labels, "doc_id").select("doc_id", "node", _number(names).alias("s"), F.col("weight").alias("w"))
+    lists = lambda df: df.agg(F.collect_list(F.struct("s", "w")).alias("of"))
+    per = near.kept(lists(given.groupBy("node", "s").agg(F.sum("w").alias("w")).groupBy("node")).select("node", F.col("of.s").alias("subjects"), F.col("of.w").alias("weights")))
+    asks = None
+    if wanted is not None:
+        asks = nodes.join(docs.join(wanted, "doc_id").groupBy("node").agg(F.collect_set(_number(names)).alias("subjects")), "node")
+    dealt, mutual = _dealt(nodes, per, asks, len(names))
+    size, some = len(names), wanted is not None
+    linked = dealt.mapInArrow(lambda batches: _tiled(batches, size, some, mutual), "node long, subjects array<int>, sums array<float>")
+    own = docs.join(lists(given.groupBy("doc_id")), "doc_id", "left").select("node", "doc_id", F.coalesce("of.s", F.array().cast("array<int>")).alias("subjects"), F.coalesce("of.w", F.array().cast("array<double>")).cast("array<float>").alias("sums"))
+    return _by_document(linked.select("node", F.lit(None).cast("long").alias("doc_id"), "subjects", "sums").union(own), size)
 
-    # nodes that begin with the same words are compared at once: they share the most, and others can be passed over
-    dealt = sent.repartition(tiles, "tile").sortWithinPartitions("tile", "kind", F.get("words", F.lit(0)), F.get("words", F.lit(1)), "node")
-    linked = near.kept(dealt.mapInArrow(run, "node long, subjects array<int>, sums array<double>"))
-    brought = docs.join(linked, "node").select("doc_id", F.arrays_zip(F.col("subjects").alias("s"), F.col("sums").alias("v")).alias("l"))
-    # documents of one node are linked with weight 1, each with all but itself
-    copies = docs.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(given, "node").select("node", "subject", "w")
-    copies = docs.join(copies, "node").join(labels, ["doc_id", "subject"], "left").select("doc_id", number.alias("s"), F.round(F.col("w") - F.coalesce("weight", F.lit(0.0)), 9).alias("v")).where("v > 0")
-    both = brought.select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.s", "l.v").union(copies)
-    return both.groupBy("doc_id", "s").agg(F.sum("v").alias("v")).select("doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1).alias("subject"), F.col("v").alias("s"))
+
+def neighbours(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject, s): the weights of the links of each document to documents with a label, by subject, each times the label's weight.
+
+    docs, nodes: as given by ``_nodes``; labels: (doc_id, subject, weight). With ``wanted``
+    (doc_id, subject) only documents in it ask, and of their sums only those of wanted
+    subjects are sure to be there, and only to be above 0 where they are so in whole.
+    """
+    brought = _brought(docs, nodes, labels, names, wanted)
+    return brought.select("doc_id", F.explode(F.arrays_zip("subjects", "sums")).alias("l")).select("doc_id", _named(names, "l.subjects").alias("subject"), F.col("l.sums").alias("s"))
 
 
 def propagated(docs: DataFrame, nodes: DataFrame, seeds: DataFrame, names: list[str], rounds: int) -> DataFrame:
@@ -374,14 +529,13 @@ def propagated(docs: DataFrame, nodes: DataFrame, seeds: DataFrame, names: list[
     neighbours' labels; a hand-given one stays as long as the share is at least TRUSTED. A
     document's weights add up to 1.
     """
+    given = near.small(cut(seeds.groupBy("doc_id").agg(F.collect_set(_number(names)).alias("given"))))
     now = seeds
     for _ in range(rounds):
-        per = neighbours(docs, nodes, now, names).groupBy("doc_id").agg(F.collect_list(F.struct("subject", "s")).alias("all"), F.sum("s").alias("total"))
-        share = per.select("doc_id", F.explode("all").alias("l"), "total").select("doc_id", "l.subject", F.round(F.col("l.s") / F.col("total"), 6).alias("share"))
-        share = share.where(F.col("share") >= min(GIVEN_ON, TRUSTED)).join(seeds.select("doc_id", "subject", F.lit(True).alias("given")), ["doc_id", "subject"], "left")
-        held = share.where((F.col("share") >= GIVEN_ON) | (F.col("given") & (F.col("share") >= TRUSTED)))
-        per = held.groupBy("doc_id").agg(F.collect_set("subject").alias("all"))
-        now = cut(per.select("doc_id", F.explode("all").alias("subject"), (F.lit(1.0) / F.size("all")).alias("weight")))
+        per = _brought(docs, nodes, now, names).join(given, "doc_id", "left")
+        least = lambda l: F.when(F.coalesce(F.array_contains("given", l["subjects"]), F.lit(False)), min(GIVEN_ON, TRUSTED)).otherwise(GIVEN_ON)  # noqa: E731, E741
+        held = per.select("doc_id", F.filter(F.arrays_zip("subjects", "sums"), lambda l: F.round(l["sums"] / F.col("total"), 6) >= least(l)).alias("all"))  # noqa: E741
+        now = cut(held.select("doc_id", F.size("all").alias("n"), F.explode("all.subjects").alias("s")).select("doc_id", _named(names, "s").alias("subject"), (F.lit(1.0) / F.col("n")).alias("weight")))
     return now
 
 
@@ -406,9 +560,9 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *,
     names = sorted(r[0] for r in seeds.select("subject").distinct().collect())
     if not names:
         return seeds.select("doc_id", "subject")
-    docs, nodes = _nodes(telling_sets(own, _tell(own, seeds, SEED_SUPPORT)))
+    docs, nodes = _nodes(telling_sets(own, _tell(own, seeds, names, SEED_SUPPORT)))
     now = propagated(docs, nodes, seeds, names, rounds)
-    n = cut(_support(own, _tell(own, now, SUPPORT)).where(F.col("n") >= min(least_sentences, CLAMPED)))
+    n = cut(_support(own, _tell(own, now, names, SUPPORT)).where(F.col("n") >= min(least_sentences, CLAMPED)))
     given = n.join(seeds.select("doc_id", "subject"), ["doc_id", "subject"], "left_semi").select("doc_id", "subject")
     asked = n.where(F.col("n") >= least_sentences).select("doc_id", "subject").join(given, ["doc_id", "subject"], "left_anti")
     reached = neighbours(docs, nodes, now, names, asked).select("doc_id", "subject")

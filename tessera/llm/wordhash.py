@@ -9,7 +9,7 @@ so the cost is a few nanoseconds a character.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -58,17 +58,24 @@ def _letters() -> np.ndarray:
     return _tables["letter"]
 
 
-def _laid_out(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of the lower-cased texts, a line feed between two, where each text begins)."""
+def kinds(name: str, of: Callable[[str], int]) -> np.ndarray:
+    """The small number that ``of`` gives each character; made once for a name."""
+    if name not in _tables:
+        _tables[name] = np.fromiter((of(chr(c)) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    return _tables[name]
+
+
+def laid_out(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the lower-cased texts, a line feed between two, where each text begins); given to several of the functions below, they are made once."""
     low = [t.lower() if t else "" for t in texts]
     lens = np.fromiter(map(len, low), np.int64, len(low))
     codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     return codes, np.concatenate(([0], np.cumsum(lens[:-1] + 1))) if len(lens) else np.empty(0, np.int64)
 
 
-def lines(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lines(texts: Sequence[str | None], laid: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of its letters, number of text, start, end) of every line with letters; lines end at line and form feeds."""
-    codes, first = _laid_out(texts)
+    codes, first = laid or laid_out(texts)
     with np.errstate(over="ignore"):
         letter = _letters()[codes]
         breaks = np.flatnonzero((codes == 10) | (codes == 12))
@@ -86,18 +93,18 @@ def lines(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, owner, start - first[owner] if len(owner) else start, end - first[owner] if len(owner) else end
 
 
-def only_letters(texts: Sequence[str | None], owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def only_letters(texts: Sequence[str | None], owner: np.ndarray, start: np.ndarray, end: np.ndarray, laid: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Whether the words at these offsets have no digits."""
-    codes, first = _laid_out(texts)
+    codes, first = laid or laid_out(texts)
     before = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(_letters()[codes], out=before[1:])
     at = first[owner] if len(owner) else start
     return before[at + end] - before[at + start] == end - start
 
 
-def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: Sequence[str | None], laid: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, number of text, start, end) of every word in text order; a null text has none. Offsets are into the lower-cased text."""
-    codes, first = _laid_out(texts)
+    codes, first = laid or laid_out(texts)
     with np.errstate(over="ignore"):
         inside = np.empty(len(codes) + 2, bool)
         inside[0] = inside[-1] = False

@@ -219,6 +219,41 @@ def test_every_two_documents_with_enough_in_common_are_linked(spark, monkeypatch
         assert got == pytest.approx(full, rel=1e-5) and len({len(x) for x in sets.values()}) > 4
 
 
+@pytest.mark.parametrize("tile", [131_072, 20])
+def test_two_labelled_documents_are_compared_once_for_both(spark, monkeypatch, tile):
+    rng = random.Random(6)
+    monkeypatch.setattr(subjects, "CHUNK", 7)
+    monkeypatch.setattr(subjects, "TILE", tile)
+    sets = {i: sorted(rng.sample(range(40), rng.choice([2, 3, 8, 30]))) for i in range(120)} | {i: [3, 4, 9] for i in range(120, 130)}
+    given = {(i, rng.choice("abc")): rng.choice([1.0, 0.5]) for i in range(128)}
+    full = collections.defaultdict(float)
+    for a, x in sets.items():
+        for (b, subject), w in given.items():
+            shared = len({*x} & {*sets[b]})
+            if a != b and shared >= 2 and shared >= 0.15 * min(len(x), len(sets[b])):
+                full[a, subject] += w * (shared / len({*x} | {*sets[b]})) ** 2
+    docs, nodes = subjects._nodes(spark.createDataFrame([*sets.items()], "doc_id long, words array<int>"))
+    labels = spark.createDataFrame([(*k, w) for k, w in given.items()], "doc_id long, subject string, weight double")
+    assert {(r.doc_id, r.subject): r.s for r in subjects.neighbours(docs, nodes, labels, [*"abc"]).collect()} == pytest.approx(full, rel=1e-5)
+    per = nodes.selectExpr("node", "array(0) as subjects", "array(1D) as weights")
+    dealt, mutual = subjects._dealt(nodes, per, None, 3)
+    compared, count = [], subjects._count
+    monkeypatch.setattr(subjects, "_count", lambda *x: (compared.append(x[-1].size), count(*x)))
+    assert list(subjects._tiled(iter(dealt.toArrow().to_batches()), 3, False, mutual))
+    assert sum(compared) <= 0.6 * nodes.count() ** 2
+
+
+def test_sentence_ends_are_those_of_the_rules():
+    rng = random.Random(7)
+    words, marks = ["a", "no", "i.e", "p.ex", "n°", "İ", "Σ", "x_y", "Art", "max", "langes", "1", "12"], [*".!?…\"'”»)] \n\f\x1c“„(-", "..", " ", " ", " "]
+    texts = ["".join(rng.choice(words if rng.random() < 0.45 else marks) for _ in range(rng.randint(0, 40))).lower() for _ in range(3000)] + ["", ".", "." * 50, ")" * 50, 'a."."', "x" * 30 + "."]
+    for some in (texts, [""], ["."], ["ab."]):
+        laid = subjects.wh.laid_out(some)
+        h, owner, start, end = subjects.wh.words(some, laid)
+        want = [laid[1][i] + m.end() for i, t in enumerate(some) for m in subjects._END.finditer(t) if subjects._ends_here(t, m)]
+        assert subjects._sentence_ends(some, laid, h, laid[1][owner] + start, laid[1][owner] + end).tolist() == want
+
+
 def test_subjects_with_many_telling_words_are_joined(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     docs, labels, names = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "subject_labels", "subjects"))
